@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -29,6 +31,7 @@ FEATURE_COLUMNS = [
 TARGET = "is_churned"
 TEST_SHARE = 0.25
 SEED = 42
+ROWS_PER_PARTITION = 50_000
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosted Trees"
 
 # Recommended action per churn driver.
@@ -118,7 +121,6 @@ def boosted_model(names: list[str], seed: int = SEED, rounds: int = 300) -> Pipe
     model = GBTClassifier(
         labelCol=TARGET, weightCol="boosted_weight", maxIter=rounds, maxDepth=5, stepSize=0.05,
         subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
-        cacheNodeIds=True, checkpointInterval=10,
     )
     return Pipeline(stages=[_assembler(names), model])
 
@@ -141,12 +143,14 @@ def prepare(users: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> Pr
     found = {r["label"]: r["n"] for r in weights.collect()}  # two rows at most
     if len(found) < 2:
         raise ValueError("churn label has a single class: both churned and active users are needed")
+    n_train = sum(found.values())
     train = rows.filter("is_test = 0").join(
         F.broadcast(weights.withColumnRenamed("label", TARGET).drop("n")), TARGET
     )
-    return Prepared(
-        feature_names(users), train, rows.filter("is_test = 1"), sum(found.values())
-    )
+    # Training passes over the rows hundreds of times: partitions are sized by rows, so that small
+    # data does not pay for empty tasks and large data keeps every core busy.
+    train = train.repartition(max(1, math.ceil(n_train / ROWS_PER_PARTITION)), "user_id")
+    return Prepared(feature_names(users), train, rows.filter("is_test = 1"), n_train)
 
 
 def fit(prepared: Prepared, name: str, seed: int = SEED, rounds: int = 300) -> PipelineModel:
@@ -176,16 +180,39 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: list[st
     )
 
 
+def score_test(prepared: Prepared, model: PipelineModel) -> DataFrame:
+    """(user_id, label, score) of the held-out users, written, since several measures read it."""
+    scored = with_probability(model, prepared.test)
+    return written(scored.select("user_id", F.col(TARGET).alias("label"), "score"), "churn-scored")
+
+
+def compare(scored: dict[str, DataFrame]) -> DataFrame:
+    """One row per model: its area under the curve, and whether it is the best (the first of equal
+    ones). `scored` holds a handful of models."""
+    parts = [
+        auc(rows).select(F.lit(place).alias("place"), F.lit(name).alias("model"), "auc")
+        for place, (name, rows) in enumerate(scored.items(), 1)
+    ]
+    best_first = Window.orderBy(F.col("auc").desc(), "place")
+    ranked = reduce(DataFrame.unionByName, parts).withColumn(
+        "is_best", (F.row_number().over(best_first) == 1).cast("int")
+    )
+    return ranked.select("model", "auc", "is_best")
+
+
 @dataclass
 class Training:
-    """Fitted models with their measures; `results` has one row per model."""
+    """Fitted models, their scores on the held-out users, and the comparison."""
 
     models: dict[str, PipelineModel]
     scored: dict[str, DataFrame]
     results: DataFrame
-    best: str
     names: list[str]
 
+    @property
+    def best(self) -> str:
+        return self.results.filter("is_best = 1").first()["model"]
+
 
 def train_compare(
     users: DataFrame,
@@ -194,26 +221,11 @@ def train_compare(
     names: tuple[str, ...] = (LOGISTIC, FOREST, BOOSTED),
     rounds: int = 300,
 ) -> Training:
-    """Fit every model on the same split and compare by area under the curve; the first model
-    wins a tie. The scored test rows are written, since several measures read them."""
+    """Fit every model on the same split and compare them on the held-out users."""
     prepared = prepare(users, share, seed)
-    models, scored, quality = {}, {}, []
-    for name in names:
-        models[name] = fit(prepared, name, seed, rounds)
-        test = with_probability(models[name], prepared.test.select("user_id", *prepared.names, TARGET))
-        scored[name] = written(
-            test.select("user_id", F.col(TARGET).alias("label"), "score"), "churn-scored"
-        )
-        quality.append((name, auc(scored[name]).first()["auc"]))
-    spark = users.sparkSession
-    table = spark.createDataFrame(
-        [(i, n, a) for i, (n, a) in enumerate(quality, 1)], "place int, model string, auc double"
-    )
-    best = max(quality, key=lambda q: q[1])[0]
-    results = table.select(
-        "model", "auc", (F.col("model") == best).cast("int").alias("is_best")
-    )
-    return Training(models, scored, results, best, prepared.names)
+    models = {name: fit(prepared, name, seed, rounds) for name in names}
+    scored = {name: score_test(prepared, model) for name, model in models.items()}
+    return Training(models, scored, compare(scored), prepared.names)
 
 
 def score_users(model: PipelineModel, users: DataFrame) -> DataFrame:

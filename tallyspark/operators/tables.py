@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ def _bought() -> Column:
     return is_type("purchase")
 
 
-def _type_counts() -> list[Column]:
+def _type_counts() -> dict[str, Column]:
     kinds = {"n_views": "view", "n_cart": "cart", "n_purchase": "purchase"}
-    return [F.count_if(is_type(kind)).alias(name) for name, kind in kinds.items()]
+    return {name: F.count_if(is_type(kind)) for name, kind in kinds.items()}
 
 
 def session_metrics(events: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def session_metrics(events: DataFrame) -> DataFrame:
         F.min("event_time").alias("session_start"),
         F.max("event_time").alias("session_end"),
         F.count(F.lit(1)).alias("n_events"),
-        *_type_counts(),
+        *[count.alias(name) for name, count in _type_counts().items()],
         F.countDistinct("product_id").alias("n_products"),
         or_zero(money_sum(_bought())).alias("revenue"),
     )
@@ -53,35 +55,48 @@ def session_metrics(events: DataFrame) -> DataFrame:
     )
 
 
-_FACETS = ["user_session", "product_id", "brand", "category"]
+def _per_facet(
+    events: DataFrame, key: str, facets: list[str], measures: dict[str, Column]
+) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Measures per (key, facet value), one grouping set per facet, and the test whether a row is
+    of a facet's set.
+
+    This is how distinct values per key are counted here. One scan; the shuffle is keyed by (key,
+    value) and combined on the map side, so a key holding a large share of all events is spread
+    over many tasks, and only one row per value reaches the step that groups by the key alone.
+    """
+    rows = events.groupingSets([[key, facet] for facet in facets], key, *facets).agg(
+        F.grouping_id().alias("_set"), *[m.alias(name) for name, m in measures.items()]
+    )
+
+    def in_set(facet: str) -> Column:
+        # grouping_id has a 1 bit for every column left out of the set; the key never is.
+        left_out = ["0" if f == facet else "1" for f in facets]
+        return F.col("_set") == int("".join(left_out), 2)
+
+    return rows, in_set
 
 
 def user_facets(events: DataFrame) -> DataFrame:
     """Per user: totals, distinct sessions / products / brands / categories, and the most
     frequent brand and category (lowest value on a tie).
 
-    One scan, one grouping set per facet: the first shuffle is keyed by (user, facet value) and
-    combined on the map side, so a user holding a large share of all events is spread over many
-    tasks and only counts reach the second, per-user step. Four distinct aggregates plus two
-    modes in one `groupBy` took 2.6 times as long and kept whole value sets per user in memory.
-    """
-    per_value = events.groupingSets(
-        [["user_id", facet] for facet in _FACETS], "user_id", *_FACETS
-    ).agg(
-        F.grouping_id().alias("_set"),
-        F.min("event_time").alias("first_seen"),
-        F.max("event_time").alias("last_seen"),
-        F.count(F.lit(1)).alias("total_events"),
-        *_type_counts(),
-        F.sum(F.when(_bought(), exact())).alias("spent"),
-        F.max(F.when(_bought(), F.col("event_time"))).alias("last_purchase_time"),
+    Four distinct aggregates plus two modes in one `groupBy` took 2.6 times as long and kept whole
+    value sets per user in memory."""
+    per_value, in_set = _per_facet(
+        events,
+        "user_id",
+        ["user_session", "product_id", "brand", "category"],
+        {
+            "first_seen": F.min("event_time"),
+            "last_seen": F.max("event_time"),
+            "total_events": F.count(F.lit(1)),
+            **_type_counts(),
+            "spent": F.sum(F.when(_bought(), exact())),
+            "last_purchase_time": F.max(F.when(_bought(), F.col("event_time"))),
+        },
     )
 
-    def in_set(facet: str) -> Column:
-        # grouping_id has a 1 bit for every column left out of the set; user_id never is.
-        left_out = [0 if f == facet else 1 for f in _FACETS]
-        return F.col("_set") == int("".join(map(str, left_out)), 2)
-
     def once(column: str) -> Column:
         return F.when(in_set("user_session"), F.col(column))
 
@@ -164,7 +179,7 @@ def product_metrics(events: DataFrame) -> DataFrame:
         F.min(F.struct("event_time", "category"))["category"].alias("category"),
         F.min(F.struct("event_time", "brand"))["brand"].alias("brand"),
         (money_sum() / F.count("price")).alias("avg_price"),
-        *_type_counts(),
+        *[count.alias(name) for name, count in _type_counts().items()],
         F.countDistinct("user_id").alias("n_unique_users"),
         or_zero(money_sum(_bought())).alias("revenue"),
     )
@@ -173,14 +188,28 @@ def product_metrics(events: DataFrame) -> DataFrame:
 
 def daily_activity(events: DataFrame) -> DataFrame:
     """One row per date with activity, in date order."""
+    per_value, in_set = _per_facet(
+        events,
+        "event_date",
+        ["user_id", "user_session"],
+        {
+            "n": F.count(F.lit(1)),
+            "bought": F.count_if(_bought()),
+            "spent": F.sum(F.when(_bought(), exact())),
+        },
+    )
+
+    def total(column: str) -> Column:
+        return F.sum(F.when(in_set("user_id"), F.col(column)))
+
     return (
-        events.groupBy(F.col("event_date").alias("activity_date"))
+        per_value.groupBy(F.col("event_date").alias("activity_date"))
         .agg(
-            F.countDistinct("user_id").alias("active_users"),
-            F.countDistinct("user_session").alias("sessions"),
-            F.count(F.lit(1)).alias("events"),
-            F.count_if(_bought()).alias("purchases"),
-            or_zero(money_sum(_bought())).alias("revenue"),
+            F.count_if(in_set("user_id")).alias("active_users"),
+            F.count_if(in_set("user_session")).alias("sessions"),
+            total("n").alias("events"),
+            total("bought").alias("purchases"),
+            or_zero(total("spent").cast("double")).alias("revenue"),
         )
         .orderBy("activity_date")
     )

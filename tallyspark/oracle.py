@@ -539,7 +539,7 @@ put("kpi_deltas_orders", OT, DELTAS)
 
 def spark(names: tuple[str, ...], table: str, order: str, value: str) -> str:
     values = ", ".join(f"('{n}')" for n in names)
-    return f"""SELECT kpi, row_number() OVER (PARTITION BY kpi ORDER BY o) AS point, value FROM (
+    return f"""SELECT kpi, CAST(row_number() OVER (PARTITION BY kpi ORDER BY o) AS INTEGER) AS point, value FROM (
       SELECT kpi, {order} AS o, CAST({value} AS DOUBLE) AS value,
              row_number() OVER (PARTITION BY kpi ORDER BY {order} DESC) AS age
       FROM {table}, (VALUES {values}) AS k(kpi) WHERE {value} IS NOT NULL) WHERE age <= 20"""

@@ -9,11 +9,12 @@ use from the smallest written input that has what it needs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cache, cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.operators import clean, tables
+from tallyspark.operators import churn, clean, tables
 from tallyspark.plans.shared import written
 from tallyspark.session import tune
 from tallyspark.sources.adapters import click_raw, order_raw
@@ -30,8 +31,8 @@ class Mart:
     def __init__(self, spark: SparkSession, sf_dir: str, source: str):
         self.spark, self.sf_dir, self.source = spark, sf_dir, source
 
-    def _keep(self, frame: DataFrame, name: str) -> DataFrame:
-        return written(frame, f"{self.source}-{name}")
+    def _keep(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        return written(frame, f"{self.source}-{name}", by)
 
     @property
     def raw(self) -> DataFrame:
@@ -39,7 +40,7 @@ class Mart:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._keep(clean.clean_events(self.raw), "events")
+        return self._keep(clean.clean_events(self.raw), "events", by="event_month")
 
     @cached_property
     def days(self) -> DataFrame:
@@ -53,6 +54,19 @@ class Mart:
     def sessions(self) -> DataFrame:
         return self._keep(tables.session_metrics(self.events), "sessions")
 
+    @cached_property
+    def prepared(self) -> churn.Prepared:
+        return churn.prepare(self.users)
+
+    @cache
+    def model(self, name: str) -> PipelineModel:
+        """A churn model, trained once per application."""
+        return churn.fit(self.prepared, name)
+
+    @cache
+    def scored(self, name: str) -> DataFrame:
+        return churn.score_test(self.prepared, self.model(name))
+
 
 _marts: dict[tuple[str, str, str], Mart] = {}
 

@@ -34,10 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyspark-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back."""
+def write_by(df: DataFrame, column: str, path: str) -> None:
+    """Write a Parquet dataset partitioned by a column, replacing what is there.
+
+    `rebalance` gives each value whole files of the advisory size: small values share a task, a
+    value too large for one task is split."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a frame as Parquet in the shared folder, `by` a column if given, and read it back."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if by:
+        write_by(df, by, path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

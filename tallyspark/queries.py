@@ -783,49 +783,44 @@ def _(m):
     return churn.classification_report(churn.confusion_matrix(_fixed_scores(m), 0.25))
 
 
-def _one_model(m: Mart, name: str) -> DataFrame:
-    """Quality of one model on the held-out users."""
-    return churn.train_compare(m.users, names=(name,)).results
+def _quality(m: Mart, *names: str) -> DataFrame:
+    """Quality of models on the held-out users."""
+    return churn.compare({name: m.scored(name) for name in names})
 
 
 @query("churn_logreg")
 def _(m):
-    return _one_model(m, churn.LOGISTIC)
+    return _quality(m, churn.LOGISTIC)
 
 
 @query("churn_random_forest")
 def _(m):
-    return _one_model(m, churn.FOREST)
+    return _quality(m, churn.FOREST)
 
 
 @query("churn_gbt")
 def _(m):
-    return _one_model(m, churn.BOOSTED)
+    return _quality(m, churn.BOOSTED)
 
 
 @query("train_compare")
 def _(m):
-    return churn.train_compare(m.users).results
+    return _quality(m, churn.LOGISTIC, churn.FOREST, churn.BOOSTED)
 
 
 @query("feature_importance")
 def _(m):
-    prepared = churn.prepare(m.users)
-    return churn.feature_importance(m.spark, churn.fit(prepared, churn.LOGISTIC), prepared.names)
-
-
-def _scores(m: Mart) -> DataFrame:
-    return churn.score_users(churn.fit(churn.prepare(m.users), churn.LOGISTIC), m.users)
+    return churn.feature_importance(m.spark, m.model(churn.FOREST), m.prepared.names)
 
 
 @query("score_users")
 def _(m):
-    return _scores(m)
+    return churn.score_users(m.model(churn.LOGISTIC), m.users)
 
 
 @query("top_risk_users")
 def _(m):
-    return churn.top_risk_users(_scores(m), m.users)
+    return churn.top_risk_users(churn.score_users(m.model(churn.LOGISTIC), m.users), m.users)
 
 
 @query("revenue_at_risk")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import clean, tables
-from tallyspark.plans.shared import written
+from tallyspark.plans.shared import write_by
 from tallyspark.sources.schema import DECLARED, RAW_EVENTS, TABLES, declared_columns
 
 
@@ -40,27 +40,17 @@ def write_events_csv(events: DataFrame, path: str) -> None:
 
 
 def write_tables_parquet(frames: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet dataset per table, replaced if present.
-
-    The event table is laid out by month. `rebalance` gives each month whole files of the advisory
-    size: small months are put together in a task, a month too large for one task is split."""
+    """One Parquet dataset per table, replaced if present; the events are laid out by month."""
     for name, frame in frames.items():
         path = f"{folder}/{name}.parquet"
         if name == "fact_events":
-            by_month = frame.hint("rebalance", "event_month")
-            by_month.write.mode("overwrite").partitionBy("event_month").parquet(path)
+            write_by(frame, "event_month", path)
         else:
             frame.write.mode("overwrite").parquet(path)
 
 
 def read_tables_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    frames = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES}
-    # Partition values are typed by their looks (2024-01 reads as a date); months are text.
-    month = F.date_format("event_month", "yyyy-MM") if dict(frames["fact_events"].dtypes)[
-        "event_month"
-    ] != "string" else F.col("event_month")
-    frames["fact_events"] = frames["fact_events"].withColumn("event_month", month)
-    return frames
+    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES}
 
 
 def load_tables(
@@ -128,21 +118,24 @@ def read_table_jdbc(
     )
 
 
+DERIVED = {
+    "user_metrics": tables.user_metrics,
+    "session_metrics": tables.session_metrics,
+    "product_metrics": tables.product_metrics,
+    "daily_activity": tables.daily_activity,
+}
+
+
 def star_schema(events: DataFrame) -> dict[str, DataFrame]:
     """The five tables over cleaned events."""
-    return {
-        "fact_events": events,
-        "user_metrics": tables.user_metrics(events),
-        "session_metrics": tables.session_metrics(events),
-        "product_metrics": tables.product_metrics(events),
-        "daily_activity": tables.daily_activity(events),
-    }
+    return {"fact_events": events, **{name: build(events) for name, build in DERIVED.items()}}
 
 
 def etl_run(raw: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """Clean once, write the events, derive the other tables from the written events, write them.
-    Returns the tables as read back."""
+    """Clean and write the events, then derive and write the other tables from the written events,
+    so the cleaning runs once. Returns the tables as read back."""
     spark = raw.sparkSession
-    events = written(clean.clean_events(raw), "clean-events")
-    write_tables_parquet(star_schema(events), folder)
+    write_tables_parquet({"fact_events": clean.clean_events(raw)}, folder)
+    events = spark.read.parquet(f"{folder}/fact_events.parquet")
+    write_tables_parquet({name: build(events) for name, build in DERIVED.items()}, folder)
     return read_tables_parquet(spark, folder)
