@@ -31,7 +31,8 @@ FEATURE_COLUMNS = [
 TARGET = "is_churned"
 TEST_SHARE = 0.25
 SEED = 42
-ROWS_PER_PARTITION = 50_000
+# Training rows per partition: enough to be worth a task, few enough to fit in one.
+MIN_ROWS, MAX_ROWS = 1_000, 250_000
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosted Trees"
 
 # Recommended action per churn driver.
@@ -147,9 +148,11 @@ def prepare(users: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> Pr
     train = rows.filter("is_test = 0").join(
         F.broadcast(weights.withColumnRenamed("label", TARGET).drop("n")), TARGET
     )
-    # Training passes over the rows hundreds of times: partitions are sized by rows, so that small
-    # data does not pay for empty tasks and large data keeps every core busy.
-    train = train.repartition(max(1, math.ceil(n_train / ROWS_PER_PARTITION)), "user_id")
+    # Training passes over the rows hundreds of times, so the partition count is set by the rows:
+    # small data does not pay for near-empty tasks, large data keeps every core busy.
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cores, math.ceil(n_train / MIN_ROWS)), math.ceil(n_train / MAX_ROWS))
+    train = train.repartition(parts, "user_id")
     return Prepared(feature_names(users), train, rows.filter("is_test = 1"), n_train)
 
 

@@ -51,6 +51,7 @@ def ab_analyze(assignments: DataFrame, alpha: float = ALPHA) -> DataFrame:
         *arm("control", "control"), *arm("treatment", "treatment")
     )
     c_n, t_n = F.nullif(F.col("control_n"), F.lit(0)), F.nullif(F.col("treatment_n"), F.lit(0))
+    # Each step is a column of its own: inlined, the rate formulas would be repeated at every use.
     rates = counted.withColumns(
         {
             "c": F.col("control_conversions") / c_n,
@@ -60,13 +61,19 @@ def ab_analyze(assignments: DataFrame, alpha: float = ALPHA) -> DataFrame:
         }
     )
     c, t, pooled = F.col("c"), F.col("t"), F.col("pooled")
-    diff = t - c
     pooled_error = F.sqrt(pooled * (1 - pooled) * (1 / c_n + 1 / t_n))
-    z = F.abs(diff) / F.nullif(pooled_error, F.lit(0.0))
-    spread = F.sqrt(c * (1 - c) / c_n + t * (1 - t) / t_n) * F.lit(z_value(1 - alpha / 2))
-    p = 2 * normal_tail(z)
+    errors = rates.withColumns(
+        {
+            "diff": t - c,
+            "z": F.abs(t - c) / F.nullif(pooled_error, F.lit(0.0)),
+            "spread": F.sqrt(c * (1 - c) / c_n + t * (1 - t) / t_n)
+            * F.lit(z_value(1 - alpha / 2)),
+        }
+    )
+    tested = errors.withColumn("p", 2 * normal_tail(F.col("z")))
+    p, diff, spread = F.col("p"), F.col("diff"), F.col("spread")
     significant = F.coalesce(p < alpha, F.lit(False))
-    return rates.select(
+    return tested.select(
         "experiment",
         "control_n",
         "treatment_n",

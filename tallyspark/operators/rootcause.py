@@ -57,21 +57,22 @@ def correlation_drivers(
     """Correlation of every numeric column with the target, strongest first, undefined last.
 
     The user id and the recency column the label is made from are numeric too and are included;
-    `exclude` leaves columns out. All correlations come out of one aggregation."""
+    `exclude` leaves columns out. The columns are unpivoted and aggregated by name: the shuffle
+    holds one row per column and task, and the generated code does not grow with the columns."""
     numeric = [
         f.name
         for f in users.schema.fields
         if isinstance(f.dataType, T.NumericType) and f.name != target and f.name not in exclude
     ]
-    entries = [
-        F.struct(
-            F.lit(name).alias("feature"), pearson(F.col(name), F.col(target)).alias("correlation")
-        )
-        for name in numeric
-    ]
+    if target not in users.columns or not numeric:
+        return users.sparkSession.createDataFrame([], "feature string, correlation double")
+    values = [F.col(name).cast("double").alias(name) for name in numeric]
+    tall = users.select(F.col(target).cast("double").alias("_target"), *values).unpivot(
+        "_target", numeric, "feature", "_value"
+    )
     return (
-        users.agg(F.array(*entries).alias("rows"))
-        .select(F.inline("rows"))
+        tall.groupBy("feature")
+        .agg(pearson(F.col("_value"), F.col("_target")).alias("correlation"))
         .orderBy(F.abs("correlation").desc_nulls_last(), "feature")
     )
 

@@ -28,13 +28,14 @@ def business_health(kpis: DataFrame) -> DataFrame:
     )
 
 
-def _unpivot(df: DataFrame, section: Column, names: list[str]) -> DataFrame:
+def _unpivot(df: DataFrame, cells: list[tuple[Column, str, str]]) -> DataFrame:
+    """One (section, name, value, label) row per (section, name, column) cell."""
     entries = [
         F.struct(
-            section.alias("section"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value"),
-            F.lit(None).cast("string").alias("label"),
+            section.alias("section"), F.lit(name).alias("name"),
+            F.col(column).cast("double").alias("value"), F.lit(None).cast("string").alias("label"),
         )
-        for n in names
+        for section, name, column in cells
     ]
     return df.select(F.inline(F.array(*entries)))
 
@@ -56,13 +57,16 @@ def metrics_snapshot(
         "revenue_share_pct",
     ]
     top = drivers.orderBy(F.abs("correlation").desc_nulls_last(), "feature").limit(3)
+    stage, segment = F.concat(F.lit("stage:"), "stage"), F.concat(F.lit("segment:"), "segment")
+    kpi_cells = [(F.lit("kpis"), n, n) for n in KPI_NAMES]
     parts = [
-        _unpivot(kpis, F.lit("kpis"), KPI_NAMES),
+        _unpivot(kpis, [*kpi_cells, (F.lit("churn"), "rate", "churn_rate")]),
         _labelled(summary, "funnel", F.lit("largest_dropoff_stage"), F.col("largest_dropoff_stage")),
-        _unpivot(summary, F.lit("funnel"), ["largest_dropoff_pct", "overall_conversion"]),
-        _unpivot(stages, F.concat(F.lit("stage:"), "stage"), stage_numbers),
-        _unpivot(segments, F.concat(F.lit("segment:"), "segment"), segment_numbers),
-        _unpivot(kpis.select(F.col("churn_rate").alias("rate")), F.lit("churn"), ["rate"]),
+        _unpivot(
+            summary, [(F.lit("funnel"), n, n) for n in ("largest_dropoff_pct", "overall_conversion")]
+        ),
+        _unpivot(stages, [(stage, n, n) for n in stage_numbers]),
+        _unpivot(segments, [(segment, n, n) for n in segment_numbers]),
         _labelled(top, "churn", F.lit("top_driver"), F.col("feature")),
     ]
     out = parts[0]
