@@ -149,7 +149,9 @@ def rank_causes(
         F.lit("Pearson correlation with churn label.").alias("evidence"),
     )
     worst = impact.orderBy(F.col("change_pct").asc_nulls_last(), "segment").limit(2)
-    moved = F.coalesce(_signed(F.rint("change_pct"), 0), F.lit("+nan"))
+    moved = F.when(F.col("change_pct").isNull(), "+nan").otherwise(
+        _signed(F.rint("change_pct"), 0)
+    )
     from_segments = worst.filter(F.col("prev_month").isNotNull()).select(
         F.lit(3).alias("source"),
         F.col("segment").alias("place"),
