@@ -56,22 +56,27 @@ def session_metrics(events: DataFrame) -> DataFrame:
 
 
 def _per_facet(
-    events: DataFrame, key: str, facets: list[str], measures: dict[str, Column]
-) -> tuple[DataFrame, Callable[[str], Column]]:
-    """Measures per (key, facet value), one grouping set per facet, and the test whether a row is
-    of a facet's set.
+    events: DataFrame, key: str, facets: list[str | tuple[str, ...]], measures: dict[str, Column]
+) -> tuple[DataFrame, Callable[[str | tuple[str, ...]], Column]]:
+    """Measures per (key, facet value), one grouping set per facet (a column, or columns taken
+    together), and the test whether a row is of a facet's set.
 
     This is how distinct values per key are counted here. One scan; the shuffle is keyed by (key,
     value) and combined on the map side, so a key holding a large share of all events is spread
     over many tasks, and only one row per value reaches the step that groups by the key alone.
     """
-    rows = events.groupingSets([[key, facet] for facet in facets], key, *facets).agg(
+
+    def members(facet: str | tuple[str, ...]) -> tuple[str, ...]:
+        return (facet,) if isinstance(facet, str) else facet
+
+    columns = [column for facet in facets for column in members(facet)]
+    rows = events.groupingSets([[key, *members(f)] for f in facets], key, *columns).agg(
         F.grouping_id().alias("_set"), *[m.alias(name) for name, m in measures.items()]
     )
 
-    def in_set(facet: str) -> Column:
+    def in_set(facet: str | tuple[str, ...]) -> Column:
         # grouping_id has a 1 bit for every column left out of the set; the key never is.
-        left_out = ["0" if f == facet else "1" for f in facets]
+        left_out = ["0" if column in members(facet) else "1" for column in columns]
         return F.col("_set") == int("".join(left_out), 2)
 
     return rows, in_set
@@ -172,18 +177,55 @@ def user_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def product_facets(events: DataFrame) -> DataFrame:
+    """Per product: totals, distinct users, and its category and brand in two readings: those of
+    the earliest event (lowest value on a tie) and the highest ones.
+
+    The labels come from a grouping set of their own, a row or two per product: as an aggregate
+    over the events their text would turn the whole aggregation into a sorting one."""
+    labels = ("category", "brand")
+    per_value, in_set = _per_facet(
+        events,
+        "product_id",
+        ["user_id", labels],
+        {
+            "first_seen": F.min("event_time"),
+            "priced": F.count("price"),
+            "asked": F.sum(exact()),
+            **_type_counts(),
+            "spent": F.sum(F.when(_bought(), exact())),
+        },
+    )
+
+    def first(label: str) -> Column:
+        return F.min(F.when(in_set(labels), F.struct("first_seen", label)))[label]
+
+    def once(column: str) -> Column:
+        return F.sum(F.when(in_set("user_id"), F.col(column)))
+
+    return per_value.groupBy("product_id").agg(
+        *[first(label).alias(f"first_{label}") for label in labels],
+        *[F.max(F.when(in_set(labels), F.col(c))).alias(f"highest_{c}") for c in labels],
+        (once("asked").cast("double") / F.nullif(once("priced"), F.lit(0))).alias("avg_price"),
+        *[once(name).alias(name) for name in _type_counts()],
+        F.count_if(in_set("user_id")).alias("n_unique_users"),
+        once("spent").cast("double").alias("spent"),
+    )
+
+
 def product_metrics(events: DataFrame) -> DataFrame:
-    """One row per product. Category and brand are those of its earliest event (lowest value on a
-    tie); the mean price is over all events, not only purchases."""
-    products = events.groupBy("product_id").agg(
-        F.min(F.struct("event_time", "category"))["category"].alias("category"),
-        F.min(F.struct("event_time", "brand"))["brand"].alias("brand"),
-        (money_sum() / F.count("price")).alias("avg_price"),
-        *[count.alias(name) for name, count in _type_counts().items()],
-        F.countDistinct("user_id").alias("n_unique_users"),
-        or_zero(money_sum(_bought())).alias("revenue"),
+    """One row per product, labelled by its earliest event; the mean price is over all events, not
+    only purchases."""
+    return product_facets(events).select(
+        "product_id",
+        F.col("first_category").alias("category"),
+        F.col("first_brand").alias("brand"),
+        "avg_price",
+        *_type_counts(),
+        "n_unique_users",
+        or_zero(F.col("spent")).alias("revenue"),
+        per("n_purchase", F.col("n_views")).alias("view_to_purchase_rate"),
     )
-    return products.withColumn("view_to_purchase_rate", per("n_purchase", F.col("n_views")))
 
 
 def daily_activity(events: DataFrame) -> DataFrame:

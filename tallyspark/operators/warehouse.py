@@ -17,7 +17,7 @@ from tallyspark.functions.money import (
     seconds_between,
 )
 from tallyspark.operators.cohort import cohort_activity
-from tallyspark.operators.tables import CHURN_DAYS, user_facets
+from tallyspark.operators.tables import CHURN_DAYS, product_facets, user_facets
 
 def _bought() -> Column:
     return is_type("purchase")
@@ -27,9 +27,8 @@ def _n(kind: str) -> Column:
     return F.count_if(is_type(kind))
 
 
-def _mean_price(condition: Column | None = None) -> Column:
-    counted = F.count("price") if condition is None else F.count_if(condition)
-    return money_sum(condition) / F.nullif(counted, F.lit(0))
+def _mean_price(condition: Column) -> Column:
+    return money_sum(condition) / F.nullif(F.count_if(condition), F.lit(0))
 
 
 def sql_active_users(days: DataFrame) -> DataFrame:
@@ -120,21 +119,17 @@ def sql_session_rates(sessions: DataFrame) -> DataFrame:
 
 
 def sql_product_metrics(events: DataFrame) -> DataFrame:
-    return (
-        events.groupBy("product_id")
-        .agg(
-            F.max("category").alias("category"),
-            F.max("brand").alias("brand"),
-            _mean_price().alias("avg_price"),
-            _n("view").alias("n_views"),
-            _n("cart").alias("n_cart"),
-            _n("purchase").alias("n_purchase"),
-            F.countDistinct("user_id").alias("n_unique_users"),
-            money_sum(_bought()).alias("revenue"),
-        )
-        .withColumn(
-            "view_to_purchase_rate", per_or_null(F.col("n_purchase"), F.col("n_views"))
-        )
+    return product_facets(events).select(
+        "product_id",
+        F.col("highest_category").alias("category"),
+        F.col("highest_brand").alias("brand"),
+        "avg_price",
+        "n_views",
+        "n_cart",
+        "n_purchase",
+        "n_unique_users",
+        F.col("spent").alias("revenue"),
+        per_or_null(F.col("n_purchase"), F.col("n_views")).alias("view_to_purchase_rate"),
     )
 
 
