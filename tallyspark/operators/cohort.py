@@ -92,7 +92,10 @@ def cohort_summary(retention: DataFrame, day_n: DataFrame) -> DataFrame:
     column = later.filter(F.col("month_number") == second)
     age_of_cohort = -F.unix_date(F.to_date(F.concat("cohort", F.lit("-01"))))
     leading = column.agg(
-        F.avg("retention_pct").alias("avg_month1_retention"),
+        (
+            F.sum(F.col("retention_pct").cast("decimal(12,1)")).cast("double")
+            / F.nullif(F.count("retention_pct"), F.lit(0))
+        ).alias("avg_month1_retention"),
         F.max_by("cohort", F.struct(F.col("retention_pct"), age_of_cohort)).alias("best_cohort"),
         F.max("retention_pct").alias("best_cohort_retention"),
     )

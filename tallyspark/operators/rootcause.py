@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,8 +116,9 @@ def segment_matrix(events: DataFrame, dimension: str = "category") -> DataFrame:
     return monthly.groupBy(dimension).pivot("event_month").agg(F.first("revenue")).fillna(0.0)
 
 
-def _signed(value, digits: int):
-    return F.format_string(f"%+.{digits}f", value)
+def _signed(value: Column, digits: int) -> Column:
+    """A number with its sign, `+nan` where it is undefined."""
+    return F.when(value.isNull(), "+nan").otherwise(F.format_string(f"%+.{digits}f", value))
 
 
 def rank_causes(
@@ -149,9 +150,7 @@ def rank_causes(
         F.lit("Pearson correlation with churn label.").alias("evidence"),
     )
     worst = impact.orderBy(F.col("change_pct").asc_nulls_last(), "segment").limit(2)
-    moved = F.when(F.col("change_pct").isNull(), "+nan").otherwise(
-        _signed(F.rint("change_pct"), 0)
-    )
+    moved = _signed(F.rint("change_pct"), 0)
     from_segments = worst.filter(F.col("prev_month").isNotNull()).select(
         F.lit(3).alias("source"),
         F.col("segment").alias("place"),

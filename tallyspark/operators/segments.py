@@ -22,10 +22,10 @@ WINDOW_SHOPPER = "Window Shopper"
 def assign_segments(users: DataFrame) -> DataFrame:
     """Add `segment`. The two upper quartiles are exact, over all given users; the first matching
     rule wins."""
-    clv_cut = exact_quantile(users, "customer_lifetime_value", TOP_QUARTILE, "_clv_cut")
-    often_cut = exact_quantile(users, "purchase_frequency", TOP_QUARTILE, "_often_cut")
-    valuable = F.col("customer_lifetime_value") >= F.col("_clv_cut")
-    often = F.col("purchase_frequency") >= F.col("_often_cut")
+    clv_cut = exact_quantile(users, "customer_lifetime_value", TOP_QUARTILE, "cut").scalar()
+    often_cut = exact_quantile(users, "purchase_frequency", TOP_QUARTILE, "cut").scalar()
+    valuable = F.col("customer_lifetime_value") >= clv_cut
+    often = F.col("purchase_frequency") >= often_cut
     segment = (
         F.when(F.col("n_orders") < 1, WINDOW_SHOPPER)
         .when((F.col("is_churned") == 1) & valuable, AT_RISK)
@@ -33,12 +33,7 @@ def assign_segments(users: DataFrame) -> DataFrame:
         .when((F.col("is_repeat_purchaser") == 1) & often, POWER)
         .otherwise(CASUAL)
     )
-    return (
-        users.crossJoin(F.broadcast(clv_cut))
-        .crossJoin(F.broadcast(often_cut))
-        .withColumn("segment", segment)
-        .drop("_clv_cut", "_often_cut")
-    )
+    return users.withColumn("segment", segment)
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:

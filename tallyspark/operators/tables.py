@@ -129,13 +129,13 @@ def user_facets(events: DataFrame) -> DataFrame:
 def user_metrics(events: DataFrame) -> DataFrame:
     """One row per user: counts, revenue, recency against the latest event of all, funnel flags,
     churn label, engagement ratios and preferences."""
-    latest = events.agg(F.max("event_time").alias("_latest"))
+    latest = events.agg(F.max("event_time")).scalar()
     orders = F.col("n_purchase")
     sessions = F.greatest("n_sessions", F.lit(1))
     since_seen = days_between(F.col("last_seen"), F.col("_latest"))
     return (
         user_facets(events)
-        .crossJoin(F.broadcast(latest))
+        .withColumn("_latest", latest)
         .select(
             "user_id",
             "first_seen",

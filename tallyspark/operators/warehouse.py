@@ -200,11 +200,11 @@ def sql_day_n_retention(days: DataFrame) -> DataFrame:
 
 
 def sql_churn_features(events: DataFrame) -> DataFrame:
-    latest = events.agg(F.max("event_time").alias("latest"))
+    latest = events.agg(F.max("event_time")).scalar()
     idle = days_between(F.col("last_seen"), F.col("latest"))
     return (
         user_facets(events)
-        .crossJoin(F.broadcast(latest))
+        .withColumn("latest", latest)
         .select(
             "user_id",
             "total_events",

@@ -631,7 +631,8 @@ put(
     SELECT a.retention_pct AS d1_retention, b.retention_pct AS d30_retention,
     CASE WHEN b.retention_pct >= 20 THEN 'Strong' WHEN b.retention_pct >= 10 THEN 'Stable' ELSE 'Weak' END
       AS status,
-    (SELECT avg(retention_pct) FROM second) AS avg_month1_retention, best.cohort AS best_cohort,
+    (SELECT CAST(sum(CAST(retention_pct AS DECIMAL(12,1))) AS DOUBLE) / count(*) FROM second)
+      AS avg_month1_retention, best.cohort AS best_cohort,
     best.retention_pct AS best_cohort_retention
     FROM day_pct a, day_pct b, best WHERE a.day = 'D1' AND b.day = 'D30'""",
 )
@@ -807,7 +808,7 @@ cause_rows AS (
   FROM drop_rows
   UNION ALL
   SELECT 2, feature, '''' || feature || ''' strongly correlates with churn ('
-         || printf('%+.2f', correlation) || ')', abs(correlation) * 100,
+         || coalesce(printf('%+.2f', correlation), '+nan') || ')', abs(correlation) * 100,
          'Pearson correlation with churn label.' FROM top3
   UNION ALL
   SELECT 3, segment, 'Segment ''' || segment || ''' revenue changed '
