@@ -32,7 +32,7 @@ TARGET = "is_churned"
 TEST_SHARE = 0.25
 SEED = 42
 # Training rows per partition: enough to be worth a task, few enough to fit in one.
-MIN_ROWS, MAX_ROWS = 1_000, 250_000
+MIN_ROWS, MAX_ROWS = 4_000, 250_000
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosted Trees"
 
 # Recommended action per churn driver.
