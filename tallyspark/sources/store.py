@@ -74,7 +74,7 @@ def create_star_schema(
 ) -> None:
     """Drop and create the five catalog tables with their declared types, and fill them. Values
     are rounded to the declared scale on the way in."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in TABLES:
         columns = declared_columns(name)
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
