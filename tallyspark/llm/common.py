@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where they share the driver's folders; elsewhere it is
+    installed or added with addPyFile, as any package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{table}.parquet")
 
 
@@ -28,7 +39,7 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text"):
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int | None = None):
     """(batch, texts) with null texts as empty strings, a bounded number of characters at a time."""
     for batch in batches:
         start, held = 0, 0
@@ -36,7 +47,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text"):
         lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(False)
         for i, n in enumerate(lengths):
             held += int(n)
-            if held >= BATCH_BYTES or i + 1 == len(lengths):
+            if held >= (limit or BATCH_BYTES) or i + 1 == len(lengths):
                 part = batch.slice(start, i + 1 - start)
                 yield part, [x or "" for x in texts.slice(start, i + 1 - start).to_pylist()]
                 start, held = i + 1, 0

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, exact, simhash
+from tallyspark.llm import bpe, chat, exact, langid, mixing, pii, rules, simhash
 from tallyspark.llm.common import documents, given
 from tallyspark.plans.shared import written
 
+#: Folder of the vocabulary files.
+VOCABULARIES = os.environ.get("TALLY_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -86,3 +90,88 @@ def op4_chat_format(spark, sf_dir):
 @query()
 def op6_simhash(spark, sf_dir):
     return simhash.simhash_groups(documents(spark, sf_dir))
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+        FROM documents
+    ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+    ), w AS (
+        SELECT source, source_size, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS wanted,
+            [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w
+        FROM s
+    ), p AS (
+        SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior,
+            sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS upfrom
+        FROM w WINDOW o AS (ORDER BY cap::DOUBLE / w, source)
+    ), q AS (SELECT *, (wanted - prior) * w >= cap * upfrom AS stops FROM p
+    ), t AS (
+        SELECT source, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE
+            w * ((wanted - coalesce(sum(cap) FILTER (WHERE stops) OVER (), 0)::DOUBLE)
+                 / (sum(w) FILTER (WHERE NOT stops) OVER ())::DOUBLE) END AS target
+        FROM q
+    ), c AS (
+        SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+            target - whole * source_size AS rest, rest / source_size AS pi
+        FROM t
+    ), r AS (
+        SELECT d.doc_id, d.source, d.size, source_size, target, whole, rest,
+            (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|mix'), 1, 13))::BIGINT + 0.5::DOUBLE)
+                / 4503599627370496::DOUBLE AS u,
+            CASE WHEN rest > 0 AND source_size > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS ratio,
+            ratio / (1 + ratio) AS place
+        FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+    ), z AS (
+        SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r
+    )
+    SELECT doc_id, size, source_size, target,
+        (size * (whole + CASE WHEN place IS NOT NULL AND upto - size / 2 < rest THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM z
+    """
+)
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+@query()
+def op7_quality_rules(spark, sf_dir):
+    judged = rules.quality_rules(documents(spark, sf_dir))
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base.alias("base_failed"), "kept", "rejected_by",
+    )
+
+
+@query()
+def op9_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    model = langid.train(docs, remainder != 2)
+    return langid.identify(docs, model).select(
+        "doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def _listed(spans):
+    place = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(place, ",")
+
+
+@query()
+def op3_personal_data(spark, sf_dir):
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
+    )
+
+
+@query()
+def op10_bpe_codec(spark, sf_dir):
+    return bpe.digest_documents(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
