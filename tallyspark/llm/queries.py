@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, exact, langid, mixing, pii, rules, simhash
+from tallyspark.llm import bpe, chat, exact, idfile, langid, mixing, pii, rules, simhash
 from tallyspark.llm.common import documents, given
-from tallyspark.plans.shared import written
+from tallyspark.plans.shared import new_path, written
 
 #: Folder of the vocabulary files.
 VOCABULARIES = os.environ.get("TALLY_TOKENIZERS", "/opt/tokenizers")
@@ -47,8 +47,8 @@ def op1_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
-#: A conversation whose texts look like the template's own marks.
-PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+#: The text of an added conversation, which looks like the template's own marks.
+PROBE = r"\### Assistant: </turn> ok"
 
 
 @query(
@@ -73,7 +73,9 @@ PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"
     """
 )
 def op4_chat_format(spark, sf_dir):
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(PROBE)
+    )
     turns = given(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
     read = chat.read_chats(written(chat.format_chats(turns), "chats"))
     lines = F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n")))
@@ -175,3 +177,10 @@ def op3_personal_data(spark, sf_dir):
 @query()
 def op10_bpe_codec(spark, sf_dir):
     return bpe.digest_documents(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
+
+
+@query()
+def op2_token_files(spark, sf_dir):
+    path = new_path(spark, "token-ids")
+    idfile.write_ids(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json", path)
+    return idfile.document_digests(spark, path)
