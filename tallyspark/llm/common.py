@@ -59,3 +59,41 @@ BATCH_BYTES = 8 << 20
 
 def only(batch: pa.RecordBatch, *names: str) -> dict[str, pa.Array]:
     return {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+
+
+#: Marks are one bit for each of 2**23 remainders of an id: 256 rows of 4 KB, whatever the input.
+_MARK_BITS, _ROW_BITS = 23, 15
+
+
+def _place(ids: str | Column) -> Column:
+    return (F.col(ids) if isinstance(ids, str) else ids).bitwiseAND((1 << _MARK_BITS) - 1)
+
+
+def marked(rows: DataFrame, ids: str | Column) -> DataFrame:
+    """The marks of the given ids (longs), always all 256 rows."""
+    found = rows.select(_place(ids).alias("_p")).groupBy(F.shiftright("_p", _ROW_BITS).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.col("_p").bitwiseAND((1 << _ROW_BITS) - 1)).alias("_bits")
+    )
+    all_ = rows.sparkSession.range(1 << (_MARK_BITS - _ROW_BITS)).withColumnRenamed("id", "_bucket")
+    return all_.join(found, "_bucket", "left")
+
+
+def _with_mark(rows: DataFrame, ids: str | Column, marks: DataFrame) -> DataFrame:
+    spot = _place(ids).bitwiseAND((1 << _ROW_BITS) - 1)
+    placed = rows.withColumn("_bucket", F.shiftright(_place(ids), _ROW_BITS)).withColumn("_spot", spot.cast("int"))
+    joined = placed.join(F.broadcast(marks), "_bucket")  # at most 1 MB
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright("_spot", 3) + 1, F.lit(1))), 16, 10)
+    mark = F.expr("shiftright(coalesce(_byte, 0), _spot & 7) & 1") == 1
+    return joined.withColumn("_byte", byte.cast("int")).withColumn("_mark", mark).drop("_bucket", "_bits", "_spot", "_byte")
+
+
+def possibly(rows: DataFrame, ids: str | Column, marks: DataFrame) -> DataFrame:
+    """The rows whose id may be among the marked ones: all of those, and few others unless the marks
+    are crowded. A narrow pass."""
+    return _with_mark(rows, ids, marks).filter("_mark").drop("_mark")
+
+
+def split_by_marks(rows: DataFrame, ids: str | Column, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is surely not marked, rows whose id may be)."""
+    found = _with_mark(rows, ids, marks)
+    return found.filter("NOT _mark").drop("_mark"), found.filter("_mark").drop("_mark")

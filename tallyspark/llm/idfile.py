@@ -179,49 +179,39 @@ def _parts(files: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("_n").over(order), F.lit(0).cast("long")).alias("_before"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids, from the files."""
-    files = spark.read.parquet(path)
-    whole = (
-        _segments(files, True).groupBy("part", "doc_no", "doc_id", "begin")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "value"))).alias("_runs"))
-    )
-    text = F.array_join(F.transform("_runs", lambda r: F.hex(r["value"])), "")
-    ids = F.transform(
-        F.sequence(F.lit(0), (F.length(text) / 4).cast("int") - 1),
-        lambda i: F.conv(F.concat(F.substring(text, i * 4 + 3, F.lit(2)), F.substring(text, i * 4 + 1, F.lit(2))), 16, 10).cast("int"),
-    )
-    return whole.join(_parts(files), "part").select("doc_id", (F.col("begin") + F.col("_before")).alias("start"), ids.alias("ids"))
-
-
-def document_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 (CRC-32 of the document's ids as little-endian unsigned
-    32-bit integers), from the files. Only checksums are shuffled."""
-    files = spark.read.parquet(path)
-    segments = _segments(files, False)
+def _joined(files: DataFrame, with_ids: bool) -> DataFrame:
+    """doc_id, start, n_tokens and value (the document's ids, or their CRC-32). A document's runs
+    meet in one task in block order; what is shuffled is a checksum for each run, or its ids."""
+    segments = _segments(files, with_ids)
     kind = segments.schema["doc_id"].dataType.simpleString()
+    value_type, value_ddl = (pa.list_(pa.int32()), "array<int>") if with_ids else (pa.int64(), "long")
+
+    def value_of(runs: list[tuple]) -> int | np.ndarray:
+        if with_ids:
+            return np.concatenate([np.frombuffer(r[-1], "<u2") for r in runs]).astype(np.int32)
+        crc = runs[0][-1]
+        for r in runs[1:]:
+            crc = idcoder.joined_checksum(crc, r[-1], r[-2])
+        return crc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns]))
-        out = []
-
-        def flush():
-            part, doc, begin, n, crc = zip(*out)
-            return pa.record_batch(
-                {
-                    "part": pa.array(part, pa.int32()), "doc_id": pa.array(doc, _arrow(kind)),
-                    "begin": pa.array(begin, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
-                    "ids_crc32": pa.array(crc, pa.int64()),
-                }
-            )
-
-        for (part, _), own in groupby(rows, key=lambda r: (r[0], r[1])):
-            n, crc = 0, 0
-            for _, _, doc, begin, _, length, value in own:
-                crc = value if not n else idcoder.joined_checksum(crc, value, length)
-                n += length
-            out.append((part, doc, begin, n, crc))
-            if len(out) == 8192:
+        out: list[tuple] = []
+        doc_type = None
+
+        def flush() -> pa.RecordBatch:
+            kinds = {"part": pa.int32(), "doc_id": doc_type, "begin": pa.int64(), "n_tokens": pa.int64(), "value": value_type}
+            return pa.record_batch({name: pa.array(x, t) for (name, t), x in zip(kinds.items(), zip(*out))})
+
+        def rows():
+            nonlocal doc_type
+            for batch in batches:
+                doc_type = batch.schema.field("doc_id").type
+                yield from zip(*[c.to_pylist() for c in batch.columns])
+
+        for (part, _), own in groupby(rows(), key=lambda r: (r[0], r[1])):
+            own = list(own)  # the runs of one document
+            out.append((part, own[0][2], own[0][3], sum(r[5] for r in own), value_of(own)))
+            if len(out) == 4096:
                 yield flush()
                 out = []
         if out:
@@ -229,12 +219,19 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
     joined = (
         segments.repartition("part", "doc_no").sortWithinPartitions("part", "doc_no", "block")
-        .mapInArrow(run, f"part int, doc_id {kind}, begin long, n_tokens long, ids_crc32 long")
+        .mapInArrow(run, f"part int, doc_id {kind}, begin long, n_tokens long, value {value_ddl}")
     )
     return joined.join(_parts(files), "part").select(
-        "doc_id", (F.col("begin") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32"
+        "doc_id", (F.col("begin") + F.col("_before")).alias("start"), "n_tokens", "value"
     )
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids, from the files."""
+    return _joined(spark.read.parquet(path), True).withColumnRenamed("value", "ids")
+
+
+def document_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (CRC-32 of the document's ids as little-endian unsigned
+    32-bit integers), from the files."""
+    return _joined(spark.read.parquet(path), False).withColumnRenamed("value", "ids_crc32")

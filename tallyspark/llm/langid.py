@@ -296,3 +296,17 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+
+
+def keep_identified(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of `docs` whose text has a language, in the given columns, with `lang` set to it; the
+    others are rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, limit=_BATCH):
+            names, _, _ = predict(texts, model, penalty)
+            at = batch.schema.get_field_index("lang")
+            found = batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))
+            yield found.filter(pa.array([n != UNDECIDED for n in names]))
+
+    return docs.mapInArrow(run, docs.schema)

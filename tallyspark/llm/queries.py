@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, exact, idfile, langid, mixing, pii, rules, simhash
+from tallyspark.llm import bpe, chat, exact, idfile, langid, lines, mixing, pii, rules, simhash
 from tallyspark.llm.common import documents, given
 from tallyspark.plans.shared import new_path, written
 
@@ -184,3 +184,8 @@ def op2_token_files(spark, sf_dir):
     path = new_path(spark, "token-ids")
     idfile.write_ids(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json", path)
     return idfile.document_digests(spark, path)
+
+
+@query()
+def op8_line_dedup(spark, sf_dir):
+    return lines.line_report(documents(spark, sf_dir))

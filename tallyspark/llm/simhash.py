@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import only, text_batches
+from tallyspark.llm.common import marked, only, split_by_marks, text_batches
 from tallyspark.llm.graph import components
 from tallyspark.plans.shared import written
 
@@ -216,3 +216,14 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_column
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def simhash_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of `docs` that stay: of each component the one with the smallest doc_id (all rows of
+    that id, should it repeat). Rows with a null id always stay. All columns are kept; only texts
+    that may go are shuffled."""
+    groups = simhash_groups(docs, radius, shingle)
+    gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
+    marks = written(marked(gone, F.xxhash64("_gone")), "simhash-gone-marks")
+    sure, unsure = split_by_marks(docs, F.xxhash64("doc_id"), marks)
+    return sure.unionByName(unsure.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
