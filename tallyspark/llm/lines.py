@@ -294,24 +294,26 @@ def line_dedup(docs: DataFrame, **settings) -> DataFrame:
     lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("dropped").alias("_lost"))
     # Texts that surely lose nothing are not shuffled.
     marks = written(marked(lost, F.xxhash64("_lost_id")), "lines-lost-marks")
-    sure, unsure = split_by_marks(docs, F.xxhash64("doc_id"), marks)
-    joined = unsure.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
-    joined = joined.unionByName(sure.withColumn("_lost", F.lit(None).cast("array<int>")))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    sure, unsure = split_by_marks(rows, F.xxhash64("_id"), marks)
+    joined = unsure.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")), "left")
     kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n"
+        F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n"
+    )
+    untouched = F.col("_lost").isNull() | F.col("_row.text").isNull()
+    changed = joined.select(
+        F.when(untouched, F.col("_row.text")).otherwise(kept).alias("_text"), untouched.alias("_same"), "_row"
     )
-    text = F.when(F.col("_lost").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_text", text)
     columns = []
     for c in docs.columns:
+        own = F.col("_row").getField(c)
         if c == "text":
-            columns.append(F.col("_text").alias("text"))
+            own = F.col("_text")
         elif c == "n_chars":
             # What the given column says of rows that keep all their lines stays as it is.
-            columns.append(F.when(F.col("_lost").isNull(), F.col(c)).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(c))
-    return out.select(*columns)
+            own = F.when(F.col("_same"), own).otherwise(F.length("_text")).cast(docs.schema[c].dataType)
+        columns.append(own.alias(c))
+    return sure.select("_row.*").unionByName(changed.select(*columns))
 
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:

@@ -225,5 +225,7 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFra
     groups = simhash_groups(docs, radius, shingle)
     gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
     marks = written(marked(gone, F.xxhash64("_gone")), "simhash-gone-marks")
-    sure, unsure = split_by_marks(docs, F.xxhash64("doc_id"), marks)
-    return sure.unionByName(unsure.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    sure, unsure = split_by_marks(rows, F.xxhash64("_id"), marks)
+    kept = unsure.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return sure.select("_row.*").unionByName(kept.select("_row.*"))
