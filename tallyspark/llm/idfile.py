@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import idcoder
 from tallyspark.llm.common import text_batches
-from tallyspark.llm.memo import Memo, tokenizer
+from tallyspark.llm.memo import Memo, PieceEncoder, tokenizer
 
 END_ID = 0
 #: Pieces that the vocabulary's own splitting never joins: a word with the space before it, or
@@ -38,11 +38,7 @@ class TextEncoder:
         self.tokenizer = tokenizer(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("the id files hold ids below 65,536")
-        self.pieces = Memo(self._encode)
-
-    def _encode(self, pieces: list[bytes]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False):
-            yield np.array(found.ids, "<u2").tobytes()
+        self.pieces = Memo(PieceEncoder(self.tokenizer, "<u2"))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if _WHOLE.search(t) else _PIECE.findall(t.encode("utf-8", "replace")) for t in texts]
