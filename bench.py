@@ -25,7 +25,8 @@ HEADLINE = [
     "rolling_active_users_orders", "funnel_stages", "funnel_impact", "cohort_matrix",
     "day_n_retention_orders", "assign_segments", "segment_summary", "adoption_table",
     "correlation_drivers", "segment_impact", "rank_causes", "ab_analyze", "stratified_split",
-    "auc", "roc_curve", "churn_logreg", "churn_random_forest", "score_users", "metrics_snapshot",
+    "auc", "roc_curve", "churn_logreg", "churn_random_forest", "churn_gbt", "train_compare",
+    "feature_importance", "score_users", "top_risk_users", "metrics_snapshot",
 ]
 
 

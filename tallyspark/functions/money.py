@@ -10,9 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A price of this much or more, and an infinite one, counts as unreadable.
+PRICE_LIMIT = 1e15
+
+
 def exact(price: str | Column = "price") -> Column:
-    """A price with two exact decimals."""
-    return (F.col(price) if isinstance(price, str) else price).cast("decimal(12,2)")
+    """A cleaned price with two exact decimals; anything under the limit fits."""
+    return (F.col(price) if isinstance(price, str) else price).cast("decimal(18,2)")
+
+
+def exact_total(total: str | Column) -> Column:
+    """A sum of prices with two exact decimals, with room for 10**11 prices at the limit."""
+    return (F.col(total) if isinstance(total, str) else total).cast("decimal(28,2)")
 
 
 def is_type(kind: str) -> Column:

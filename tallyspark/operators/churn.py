@@ -17,9 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import exact, or_zero
+from tallyspark.functions.money import exact_total, or_zero
 from tallyspark.plans.ordered import running_totals, smallest_share
-from tallyspark.plans.shared import written
+from tallyspark.plans.shared import allow_checkpoints, written
 
 # Model inputs, label, split and model settings.
 FEATURE_COLUMNS = [
@@ -31,9 +31,11 @@ FEATURE_COLUMNS = [
 TARGET = "is_churned"
 TEST_SHARE = 0.25
 SEED = 42
-# Training rows per partition: enough to be worth a task, few enough to fit in one.
-MIN_ROWS, MAX_ROWS = 4_000, 250_000
+# Training rows per partition. Tree models draw their samples partition by partition, so the
+# partitions must follow from the rows alone: never from cores, files or session settings.
+ROWS_PER_PARTITION = 20_000
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosted Trees"
+MODELS = (LOGISTIC, FOREST, BOOSTED)
 
 # Recommended action per churn driver.
 DEFAULT_ACTION = "Investigate this signal further and design targeted interventions."
@@ -118,7 +120,8 @@ def forest_model(names: list[str], seed: int = SEED) -> Pipeline:
 
 
 def boosted_model(names: list[str], seed: int = SEED, rounds: int = 300) -> Pipeline:
-    """300 rounds of depth-5 trees, rate 0.05, nine tenths of rows and columns per tree."""
+    """300 rounds of depth-5 trees, rate 0.05, nine tenths of the rows per tree and of the columns
+    per node."""
     model = GBTClassifier(
         labelCol=TARGET, weightCol="boosted_weight", maxIter=rounds, maxDepth=5, stepSize=0.05,
         subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
@@ -138,21 +141,22 @@ class Prepared:
 
 def prepare(users: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> Prepared:
     """Split once and write it, so every model trains on the same rows without recomputing them.
-    A single class is an error."""
+    The training rows are dealt by user id into a number of partitions that depends on their count,
+    and sorted there, so a seeded fit is the same on any cluster. A single class is an error."""
     rows = written(stratified_split(churn_feature_matrix(users), share, seed), "churn-rows")
     weights = class_weights(rows.filter("is_test = 0"))
     found = {r["label"]: r["n"] for r in weights.collect()}  # two rows at most
     if len(found) < 2:
         raise ValueError("churn label has a single class: both churned and active users are needed")
     n_train = sum(found.values())
-    train = rows.filter("is_test = 0").join(
-        F.broadcast(weights.withColumnRenamed("label", TARGET).drop("n")), TARGET
+    train = written(
+        rows.filter("is_test = 0").join(
+            F.broadcast(weights.withColumnRenamed("label", TARGET).drop("n")), TARGET
+        ),
+        "churn-train",
     )
-    # Training passes over the rows hundreds of times, so the partition count is set by the rows:
-    # small data does not pay for near-empty tasks, large data keeps every core busy.
-    cores = users.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(cores, math.ceil(n_train / MIN_ROWS)), math.ceil(n_train / MAX_ROWS))
-    train = train.repartition(parts, "user_id")
+    parts = math.ceil(n_train / ROWS_PER_PARTITION)
+    train = train.repartition(parts, "user_id").sortWithinPartitions("user_id")
     return Prepared(feature_names(users), train, rows.filter("is_test = 1"), n_train)
 
 
@@ -162,6 +166,8 @@ def fit(prepared: Prepared, name: str, seed: int = SEED, rounds: int = 300) -> P
         FOREST: lambda: forest_model(prepared.names, seed),
         BOOSTED: lambda: boosted_model(prepared.names, seed, rounds),
     }
+    # Hundreds of boosting rounds would otherwise grow one lineage.
+    allow_checkpoints(prepared.train.sparkSession)
     return builders[name]().fit(prepared.train)
 
 
@@ -203,32 +209,58 @@ def compare(scored: dict[str, DataFrame]) -> DataFrame:
     return ranked.select("model", "auc", "is_best")
 
 
+@dataclass
+class Evaluation:
+    """What is reported of one model on the held-out users."""
+
+    auc: DataFrame
+    roc: DataFrame
+    confusion: DataFrame
+    report: DataFrame
+    importance: DataFrame
+
+
+def evaluate(scored: DataFrame, model: PipelineModel, names: list[str]) -> Evaluation:
+    """All measures of a model from its scores; users from one half on count as predicted to leave."""
+    confusion = confusion_matrix(scored)
+    return Evaluation(
+        auc(scored), roc_curve(scored), confusion, classification_report(confusion),
+        feature_importance(scored.sparkSession, model, names),
+    )
+
+
+def best_model(results: DataFrame) -> str:
+    return results.filter("is_best = 1").first()["model"]
+
+
 @dataclass
 class Training:
-    """Fitted models, their scores on the held-out users, and the comparison."""
+    """Fitted models, their scores on the held-out users, the comparison and each evaluation."""
 
     models: dict[str, PipelineModel]
     scored: dict[str, DataFrame]
     results: DataFrame
     names: list[str]
+    evaluations: dict[str, Evaluation]
 
     @property
     def best(self) -> str:
-        return self.results.filter("is_best = 1").first()["model"]
+        return best_model(self.results)
 
 
 def train_compare(
     users: DataFrame,
     share: float = TEST_SHARE,
     seed: int = SEED,
-    names: tuple[str, ...] = (LOGISTIC, FOREST, BOOSTED),
+    names: tuple[str, ...] = MODELS,
     rounds: int = 300,
 ) -> Training:
     """Fit every model on the same split and compare them on the held-out users."""
     prepared = prepare(users, share, seed)
     models = {name: fit(prepared, name, seed, rounds) for name in names}
     scored = {name: score_test(prepared, model) for name, model in models.items()}
-    return Training(models, scored, compare(scored), prepared.names)
+    evaluations = {name: evaluate(scored[name], model, prepared.names) for name, model in models.items()}
+    return Training(models, scored, compare(scored), prepared.names, evaluations)
 
 
 def score_users(model: PipelineModel, users: DataFrame) -> DataFrame:
@@ -242,12 +274,12 @@ def score_users(model: PipelineModel, users: DataFrame) -> DataFrame:
 
 
 def top_risk_users(scores: DataFrame, users: DataFrame, n: int = 15) -> DataFrame:
-    """The report of the n users most likely to leave, with their lifetime value. The limit comes
-    first, so only n rows meet the user table."""
+    """The report of the n users most likely to leave, with their lifetime value. The n rows are
+    broadcast, so the user table is scanned without a shuffle."""
     top = scores.orderBy(F.col("churn_probability").desc(), "user_id").limit(n)
     value = users.select("user_id", "customer_lifetime_value")
     return (
-        value.join(F.broadcast(top), "user_id", "right")
+        value.join(F.broadcast(top), "user_id")
         .select("user_id", "churn_probability", "customer_lifetime_value")
         .orderBy(F.col("churn_probability").desc(), "user_id")
     )
@@ -356,7 +388,7 @@ def classification_report(confusion: DataFrame) -> DataFrame:
 def revenue_at_risk(users: DataFrame) -> DataFrame:
     """One row: churned users, the sum and the mean of their lifetime value."""
     gone = F.col("is_churned") == 1
-    total = F.sum(F.when(gone, exact("customer_lifetime_value"))).cast("double")
+    total = F.sum(F.when(gone, exact_total("customer_lifetime_value"))).cast("double")
     count = F.count_if(gone)
     return users.agg(
         count.alias("churned_users"),
@@ -368,7 +400,7 @@ def revenue_at_risk(users: DataFrame) -> DataFrame:
 def churn_overview(users: DataFrame) -> DataFrame:
     """One row: churn rate, active users, their mean lifetime value, and the risk level."""
     active = F.col("is_churned") == 0
-    value = F.sum(F.when(active, exact("customer_lifetime_value"))).cast("double")
+    value = F.sum(F.when(active, exact_total("customer_lifetime_value"))).cast("double")
     rate = 100 * F.avg("is_churned")
     level = F.when(rate >= 40, "High").when(rate >= 25, "Medium").otherwise("Low")
     return users.agg(

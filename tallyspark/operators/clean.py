@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.money import PRICE_LIMIT
 from tallyspark.sources.schema import EVENT_TYPES
 
 REQUIRED = ["event_time", "user_id", "product_id", "event_type"]
@@ -33,9 +34,11 @@ def fill_categoricals(events: DataFrame) -> DataFrame:
 
 
 def coerce_price(events: DataFrame) -> DataFrame:
-    """Prices as doubles: not a number counts as 0, negative prices are raised to 0."""
-    number = F.nanvl(F.col("price").try_cast("double"), F.lit(0.0))
-    return events.withColumn("price", F.greatest(F.coalesce(number, F.lit(0.0)), F.lit(0.0)))
+    """Prices as doubles: what is not a number, infinite or beyond the limit counts as 0, negative
+    prices are raised to 0."""
+    number = F.col("price").try_cast("double")
+    readable = ~F.isnan(number) & (number < PRICE_LIMIT)
+    return events.withColumn("price", F.when(readable & (number > 0), number).otherwise(0.0))
 
 
 def split_category(events: DataFrame) -> DataFrame:

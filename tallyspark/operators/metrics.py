@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import exact, flag, is_type, money_sum, or_zero
+from tallyspark.functions.money import exact_total, flag, is_type, money_sum, or_zero
 from tallyspark.functions.stats import pct_change
 
 SPARK_POINTS = 20
@@ -139,7 +139,7 @@ def executive_kpis(days: DataFrame, users: DataFrame) -> DataFrame:
     )
     value = users.agg(
         F.sum("is_churned").alias("churned"),
-        F.sum(exact("customer_lifetime_value")).cast("double").alias("total"),
+        F.sum(exact_total("customer_lifetime_value")).cast("double").alias("total"),
         F.count("user_id").alias("n_users"),
     )
     n = F.nullif(F.col("n_users"), F.lit(0))
@@ -167,15 +167,18 @@ def executive_kpis(days: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def _last_step(series: DataFrame, order: str, value: str) -> DataFrame:
-    """One row: difference between the last two non-null points, null with fewer than two."""
-    known = series.filter(F.col(value).isNotNull())
+def _last_steps(series: DataFrame, order: str, **values: str) -> DataFrame:
+    """One row: difference between the last two points of each value, by result column; null with
+    fewer than two. The values are null on the same rows, which do not count as points."""
+    known = series.filter(F.col(next(iter(values.values()))).isNotNull())
     newest = Window.orderBy(F.col(order).desc())
     aged = known.withColumn("age", F.row_number().over(newest))
-    step = F.max(F.when(F.col("age") == 1, F.col(value))) - F.max(
-        F.when(F.col("age") == 2, F.col(value))
-    )
-    return aged.agg(F.round(step, 2).alias("step"))
+
+    def step(value: str) -> Column:
+        at = lambda age: F.max(F.when(F.col("age") == age, F.col(value)))
+        return F.round(at(1) - at(2), 2)
+
+    return aged.agg(*[step(value).alias(name) for name, value in values.items()])
 
 
 def kpi_deltas(days: DataFrame, revenue: DataFrame, retention: DataFrame) -> DataFrame:
@@ -196,10 +199,11 @@ def kpi_deltas(days: DataFrame, revenue: DataFrame, retention: DataFrame) -> Dat
         .cast("double")
         .alias("r_prev"),
     )
-    kept = _last_step(retention, "week", "retention_pct").withColumnRenamed("step", "kept")
-    lost = _last_step(churn_trend(retention), "week", "churn_pct").withColumnRenamed("step", "lost")
+    # Churn is the rest of retention, so both come from one pass over the weeks.
+    both = retention.withColumn("churn_pct", 100 - F.col("retention_pct"))
+    steps = _last_steps(both, "week", kept="retention_pct", lost="churn_pct")
     row = active
-    for part in (daily, income, kept, lost):
+    for part in (daily, income, steps):
         row = row.crossJoin(F.broadcast(part))
     money = pct_change(or_zero(F.col("r")), F.col("r_prev"))
     deltas = {

@@ -110,10 +110,13 @@ def segment_impact(events: DataFrame, dimension: str = "category") -> DataFrame:
     )
 
 
-def segment_matrix(events: DataFrame, dimension: str = "category") -> DataFrame:
-    """Wide form for display: one column per month, 0-filled."""
+def segment_matrix(
+    events: DataFrame, dimension: str = "category", months: list[str] | None = None
+) -> DataFrame:
+    """Wide form for display: one column per month, 0-filled. Without `months` the columns are the
+    months with purchases, fetched to name them."""
     monthly = segment_revenue(events, dimension)
-    return monthly.groupBy(dimension).pivot("event_month").agg(F.first("revenue")).fillna(0.0)
+    return monthly.groupBy(dimension).pivot("event_month", months).agg(F.first("revenue")).fillna(0.0)
 
 
 def _signed(value: Column, digits: int) -> Column:

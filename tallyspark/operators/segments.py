@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import exact, or_zero
+from tallyspark.functions.money import exact_total, or_zero
 from tallyspark.plans.ordered import exact_quantile
 
 TOP_QUARTILE = 0.75
@@ -38,7 +38,7 @@ def assign_segments(users: DataFrame) -> DataFrame:
 
 def segment_summary(segmented: DataFrame) -> DataFrame:
     """One row per segment, most revenue first."""
-    clv = F.sum(exact("customer_lifetime_value")).cast("double")
+    clv = F.sum(exact_total("customer_lifetime_value")).cast("double")
     per_segment = segmented.groupBy("segment").agg(
         F.count("user_id").alias("users"),
         (clv / F.count("customer_lifetime_value")).alias("avg_clv"),
@@ -62,7 +62,7 @@ def preference_breakdown(
         segmented.groupBy(by)
         .agg(
             F.count("user_id").alias("users"),
-            F.sum(exact("customer_lifetime_value")).cast("double").alias("revenue"),
+            F.sum(exact_total("customer_lifetime_value")).cast("double").alias("revenue"),
         )
         .orderBy(F.col("revenue").desc(), by)
     )

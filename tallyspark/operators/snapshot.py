@@ -105,3 +105,50 @@ def snapshot_json(
             )
         ).alias("snapshot")
     )
+
+
+_STAGE_NUMBERS = ("users", "conversion_from_prev_pct", "conversion_from_top_pct", "dropoff_pct")
+_SEGMENT_NUMBERS = (
+    "users", "avg_clv", "total_revenue", "avg_orders", "avg_sessions", "churn_rate", "revenue_share_pct",
+)
+
+
+def snapshot_values(documents: DataFrame) -> DataFrame:
+    """The long form (section, name, value, label) read back from `snapshot_json` documents."""
+
+    def fields(names) -> str:
+        return ", ".join(f"{n}: double" for n in names)
+
+    shape = (
+        f"struct<kpis: struct<{fields(KPI_NAMES)}>, "
+        "funnel: struct<largest_dropoff_stage: string, largest_dropoff_pct: double, "
+        f"overall_conversion: double, stages: array<struct<stage: string, {fields(_STAGE_NUMBERS)}>>>, "
+        f"segments: array<struct<segment: string, {fields(_SEGMENT_NUMBERS)}>>, "
+        "churn: struct<rate: double, top_drivers: array<string>>>"
+    )
+    read = documents.select(F.from_json("snapshot", shape).alias("s")).select("s.*")
+
+    def cell(section: Column, name: str, value: Column | None = None, label: Column | None = None) -> Column:
+        return F.struct(
+            section.alias("section"), F.lit(name).alias("name"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"),
+            (F.lit(None) if label is None else label).cast("string").alias("label"),
+        )
+
+    def listed(array: str, prefix: str, key: str, names) -> Column:
+        section = lambda r: F.concat(F.lit(prefix), r[key])
+        return F.flatten(F.transform(array, lambda r: F.array(*[cell(section(r), n, r[n]) for n in names])))
+
+    kpis, found, churn = F.lit("kpis"), F.lit("funnel"), F.lit("churn")
+    single = F.array(
+        *[cell(kpis, n, F.col(f"kpis.{n}")) for n in KPI_NAMES],
+        cell(found, "largest_dropoff_stage", label=F.col("funnel.largest_dropoff_stage")),
+        *[cell(found, n, F.col(f"funnel.{n}")) for n in ("largest_dropoff_pct", "overall_conversion")],
+        cell(churn, "rate", F.col("churn.rate")),
+    )
+    drivers = F.transform("churn.top_drivers", lambda d: cell(churn, "top_driver", label=d))
+    parts = F.concat(
+        single, listed("funnel.stages", "stage:", "stage", _STAGE_NUMBERS),
+        listed("segments", "segment:", "segment", _SEGMENT_NUMBERS), drivers,
+    )
+    return read.select(F.inline(parts))

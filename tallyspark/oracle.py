@@ -90,7 +90,7 @@ numbered AS (
               THEN substr(category_code, strpos(category_code, '.') + 1) ELSE 'unknown' END
            AS subcategory,
          CAST(event_time AS DATE) AS event_date, strftime(event_time, '%Y-%m') AS event_month,
-         CAST(price AS DECIMAL(12,2)) AS money
+         CAST(price AS DECIMAL(18,2)) AS money
   FROM numbered
   WHERE copy_no = 1 AND event_type IN ('view', 'cart', 'remove_from_cart', 'purchase'))"""
 
@@ -450,9 +450,9 @@ kpi AS (
           SELECT user_id FROM {events}, top_day WHERE event_date > d - 60 AND event_date <= d - 30))
       / nullif({active(60, 30)}, 0), 2), 0.0) AS retention_rate,
     (SELECT coalesce(round(100.0::DOUBLE * sum(is_churned) / count(*), 2), 0.0) FROM {users}) AS churn_rate,
-    (SELECT coalesce(round(CAST(sum(CAST(customer_lifetime_value AS DECIMAL(12,2))) AS DOUBLE), 2), 0.0)
+    (SELECT coalesce(round(CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2))) AS DOUBLE), 2), 0.0)
      FROM {users}) AS total_revenue,
-    (SELECT coalesce(round(CAST(sum(CAST(customer_lifetime_value AS DECIMAL(12,2))) AS DOUBLE)
+    (SELECT coalesce(round(CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2))) AS DOUBLE)
        / nullif(count(*), 0), 2), 0.0) FROM {users}) AS arpu,
     (SELECT count(*) FROM {users}) AS n_users)"""
 
@@ -617,6 +617,12 @@ put(
 # --- cohorts ---------------------------------------------------------------------------------
 
 put("cohort_matrix", ORDERS + FIRSTS, "SELECT * FROM cohort_long")
+put(
+    "cohort_matrix_wide", ORDERS + FIRSTS,
+    "SELECT cohort, "
+    + ", ".join(f"max(CASE WHEN month_number = {i} THEN retention_pct END) AS m{i}" for i in range(7))
+    + " FROM cohort_long GROUP BY cohort",
+)
 put(
     "cohort_sizes", ORDERS + FIRSTS,
     "SELECT strftime(m0, '%Y-%m') AS cohort, count(*) AS cohort_size FROM firsts GROUP BY 1",
@@ -657,7 +663,7 @@ seg AS MATERIALIZED (
   FROM us, cuts),
 seg_sum AS (
   SELECT segment, count(*) AS users,
-         CAST(sum(CAST(customer_lifetime_value AS DECIMAL(12,2))) AS DOUBLE) AS total_revenue,
+         CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2))) AS DOUBLE) AS total_revenue,
          avg(n_orders) AS avg_orders, avg(n_sessions) AS avg_sessions,
          round(100 * avg(is_churned), 2) AS churn_rate FROM seg GROUP BY segment),
 seg_all AS (
@@ -676,7 +682,7 @@ put("segment_summary", OS, "SELECT * FROM seg_all")
 
 def favourite(by: str) -> str:
     return f"""SELECT * FROM (SELECT '{by}' AS preference, {by} AS choice, count(*) AS users,
-      CAST(sum(CAST(customer_lifetime_value AS DECIMAL(12,2))) AS DOUBLE) AS revenue
+      CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2))) AS DOUBLE) AS revenue
       FROM us GROUP BY {by} ORDER BY revenue DESC, choice LIMIT 8)"""
 
 
@@ -684,6 +690,12 @@ put(
     "preference_breakdown", OU,
     favourite("preferred_category") + " UNION ALL " + favourite("preferred_brand"),
 )
+put(
+    "preference_breakdown_all", OU,
+    """SELECT preferred_category, count(*) AS users,
+      CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2))) AS DOUBLE) AS revenue
+      FROM us GROUP BY preferred_category""",
+)
 put(
     "segment_highlights", OS,
     """SELECT t.segment AS top_segment, t.users AS top_users, t.avg_clv AS top_avg_clv,
@@ -796,6 +808,15 @@ seg_change AS (
 
 
 put("segment_impact", ORDERS + impact("category"), "SELECT * FROM seg_change")
+put(
+    "segment_matrix", ORDERS,
+    "SELECT category, "
+    + ", ".join(
+        f"coalesce(CAST(sum(CASE WHEN event_month = '{month}' THEN money END) AS DOUBLE), 0.0) AS m{month.replace('-', '_')}"
+        for month in ("1998-05", "1998-06", "1998-07")
+    )
+    + " FROM ev WHERE event_type = 'purchase' GROUP BY category",
+)
 put("segment_impact_brand", ORDERS + impact("brand"), "SELECT * FROM seg_change")
 CAUSES = DRIVERS + impact("category") + f""",
 drop_rows AS ({drops('rev', 'date', 'revenue', 'revenue', -10)}),
@@ -939,9 +960,8 @@ conf AS (
          WHERE label = a AND CASE WHEN score >= 0.25 THEN 1 ELSE 0 END = p) AS n
   FROM (VALUES (0), (1)) AS x(a), (VALUES (0), (1)) AS y(p))"""
 put("confusion_matrix", OU + CONFUSION, "SELECT * FROM conf")
-put(
-    "classification_report", OU + CONFUSION,
-    """, side AS (
+put("confusion_matrix_half", OU + CONFUSION.replace("0.25", "0.5"), "SELECT * FROM conf")
+REPORT = """, side AS (
       SELECT l, (SELECT n FROM conf WHERE actual = l AND predicted = l)::DOUBLE AS hit,
              (SELECT sum(n) FROM conf WHERE predicted = l)::DOUBLE AS said,
              (SELECT sum(n) FROM conf WHERE actual = l)::DOUBLE AS support
@@ -957,12 +977,20 @@ put(
       FROM f a, f b, tot WHERE a.l = 0 AND b.l = 1
     UNION ALL SELECT 'weighted avg', (a.p * a.support + b.p * b.support) / n,
       (a.r * a.support + b.r * b.support) / n, (a.f1 * a.support + b.f1 * b.support) / n, CAST(n AS BIGINT)
-      FROM f a, f b, tot WHERE a.l = 0 AND b.l = 1""",
+      FROM f a, f b, tot WHERE a.l = 0 AND b.l = 1"""
+put("classification_report", OU + CONFUSION, REPORT)
+put("classification_report_half", OU + CONFUSION.replace("0.25", "0.5"), REPORT)
+put(
+    "model_test_users", OU,
+    """, h AS (SELECT is_churned, count(*) AS n FROM us GROUP BY is_churned)
+    SELECT model, CAST(is_churned AS INTEGER) AS actual, CAST(ceil(0.25 * n) AS BIGINT) AS n_users FROM h,
+    (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosted Trees')) AS x(model)""",
 )
+put("score_coverage", OU, "SELECT count(*) AS n_users, count(user_id) AS n_scored FROM us")
 RISK = """,
 risk AS (
   SELECT count(*) FILTER (WHERE is_churned = 1) AS churned_users,
-         coalesce(CAST(sum(CAST(customer_lifetime_value AS DECIMAL(12,2)))
+         coalesce(CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2)))
            FILTER (WHERE is_churned = 1) AS DOUBLE), 0.0) AS revenue_at_risk
   FROM us)"""
 put(
@@ -972,7 +1000,7 @@ put(
 put(
     "churn_overview", OU,
     """SELECT 100 * avg(is_churned) AS churn_rate, count(*) FILTER (WHERE is_churned = 0) AS active_users,
-    CAST(sum(CAST(customer_lifetime_value AS DECIMAL(12,2))) FILTER (WHERE is_churned = 0) AS DOUBLE)
+    CAST(sum(CAST(customer_lifetime_value AS DECIMAL(28,2))) FILTER (WHERE is_churned = 0) AS DOUBLE)
       / nullif(count(*) FILTER (WHERE is_churned = 0), 0) AS avg_active_clv,
     CASE WHEN 100 * avg(is_churned) >= 40 THEN 'High' WHEN 100 * avg(is_churned) >= 25 THEN 'Medium'
       ELSE 'Low' END AS risk_level FROM us""",
@@ -1011,9 +1039,7 @@ def tall(section: str, columns: list[str], table: str) -> str:
     )
 
 
-put(
-    "metrics_snapshot", OU + SEGMENTS + FUNNEL + kpis() + DRIVERS,
-    "\nUNION ALL ".join(
+SNAPSHOT = "\nUNION ALL ".join(
         [
             tall(
                 "'kpis'",
@@ -1037,5 +1063,6 @@ put(
             "SELECT 'churn', 'rate', churn_rate, NULL FROM kpi",
             "SELECT 'churn', 'top_driver', NULL, feature FROM top3",
         ]
-    ),
-)
+    )
+for _name in ("metrics_snapshot", "snapshot_json_values"):
+    put(_name, OU + SEGMENTS + FUNNEL + kpis() + DRIVERS, SNAPSHOT)

@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# A side is broadcast only when the optimizer's size estimate stays under this many bytes.
-BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
 
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (file sizes for scans, products for joins)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def join_lookup(
-    big: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    salt_on: str | Column | None = None,
-    limit: int = BROADCAST_BYTES,
-) -> DataFrame:
+def join_lookup(big: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Inner join to a lookup with one row per key.
 
-    Under `limit` bytes the lookup is broadcast. Beyond it both sides are shuffled; with
-    `salt_on` (a column that varies within a key) each key is spread over `SALTS` tasks by
-    copying the lookup row once per salt, which keeps a key with few values and many rows
-    from becoming one task. Without it adaptive skew handling splits the hot partitions.
-    """
-    if plan_bytes(lookup) <= limit:
-        return big.join(F.broadcast(lookup), key)
-    if salt_on is None:
-        return big.join(lookup, key)
-    salt_source = F.col(salt_on) if isinstance(salt_on, str) else salt_on
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_source), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    Whether the lookup is broadcast is left to the session's limit, checked on the estimated size
+    when planning and on the measured one at run time. Beyond it both sides are shuffled, and
+    adaptive execution splits the partitions of hot keys against a copy of the few lookup rows they
+    meet; an inner join may be split on either side, so no key has to fit one task."""
+    return big.join(lookup, key)

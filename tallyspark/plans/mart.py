@@ -13,6 +13,7 @@ from functools import cache, cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.operators import churn, clean, tables
 from tallyspark.plans.shared import written
@@ -63,18 +64,41 @@ class Mart:
         """A churn model, trained once per application."""
         return churn.fit(self.prepared, name)
 
+    @cached_property
+    def compared(self) -> DataFrame:
+        """All models on the held-out users."""
+        return self._keep(churn.compare({name: self.scored(name) for name in churn.MODELS}), "compared")
+
+    @cached_property
+    def best(self) -> str:
+        return churn.best_model(self.compared)
+
     @cache
     def scored(self, name: str) -> DataFrame:
         return churn.score_test(self.prepared, self.model(name))
 
 
-_marts: dict[tuple[str, str, str], Mart] = {}
+GIVEN = {"orders": ("lineitem", "orders", "part"), "clicks": ("events", "part")}
+
+_marts: dict[tuple, Mart] = {}
+
+
+def _versions(spark: SparkSession, sf_dir: str, source: str) -> tuple:
+    """Sizes and times of the given files; a listing, nothing is read."""
+    paths = [f"{sf_dir}/{table}.parquet" for table in GIVEN[source]]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    found = files.agg(
+        F.count(F.lit(1)), F.sum("length"), F.max(F.unix_micros("modificationTime"))
+    )
+    return tuple(found.first())
 
 
 def mart(spark: SparkSession, sf_dir: str, source: str = "orders") -> Mart:
-    """The mart of this application for a folder and source."""
+    """The mart of this application for a folder and source, as long as the given files stay as they
+    are; changed files get a new one."""
     tune(spark)
-    key = (spark.sparkContext.applicationId, str(sf_dir).rstrip("/"), source)
+    folder = str(sf_dir).rstrip("/")
+    key = (spark.sparkContext.applicationId, folder, source, *_versions(spark, folder, source))
     if key not in _marts:
-        _marts[key] = Mart(spark, key[1], source)
+        _marts[key] = Mart(spark, folder, source)
     return _marts[key]

@@ -553,6 +553,11 @@ def _(m):
     return cohort.cohort_retention(m.days)
 
 
+@query("cohort_matrix_wide")
+def _(m):
+    return cohort.cohort_matrix(m.days, list(range(7))).toDF("cohort", *[f"m{i}" for i in range(7)])
+
+
 @query("cohort_sizes")
 def _(m):
     return cohort.cohort_sizes(m.days)
@@ -680,6 +685,16 @@ def _(m):
     return rootcause.segment_impact(m.events)
 
 
+#: Months shown as columns.
+MATRIX_MONTHS = ["1998-05", "1998-06", "1998-07"]
+
+
+@query("segment_matrix")
+def _(m):
+    wide = rootcause.segment_matrix(m.events, months=MATRIX_MONTHS)
+    return wide.toDF("category", *[f"m{month.replace('-', '_')}" for month in MATRIX_MONTHS])
+
+
 @query("segment_impact_brand")
 def _(m):
     return rootcause.segment_impact(m.events, "brand")
@@ -805,22 +820,63 @@ def _(m):
 
 @query("train_compare")
 def _(m):
-    return _quality(m, churn.LOGISTIC, churn.FOREST, churn.BOOSTED)
+    return m.compared
+
+
+def _of_each(m: Mart, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A measure of every model on the held-out users, with the model's name."""
+    parts = [measure(m.scored(name)).select(F.lit(name).alias("model"), "*") for name in churn.MODELS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("model_roc")
+def _(m):
+    return _of_each(m, churn.roc_curve)
+
+
+@query("model_confusion")
+def _(m):
+    return _of_each(m, churn.confusion_matrix)
+
+
+@query("model_report")
+def _(m):
+    return _of_each(m, lambda scored: churn.classification_report(churn.confusion_matrix(scored)))
+
+
+@query("model_test_users")
+def _(m):
+    """Held-out users of each model and class, from its confusion matrix."""
+    cells = _of_each(m, churn.confusion_matrix)
+    return cells.groupBy("model", "actual").agg(F.sum("n").alias("n_users"))
 
 
 @query("feature_importance")
 def _(m):
-    return churn.feature_importance(m.spark, m.model(churn.FOREST), m.prepared.names)
+    """Of the best model."""
+    return churn.feature_importance(m.spark, m.model(m.best), m.prepared.names)
 
 
 @query("score_users")
 def _(m):
-    return churn.score_users(m.model(churn.LOGISTIC), m.users)
+    """By the best model."""
+    return churn.score_users(m.model(m.best), m.users)
+
+
+@query("score_coverage")
+def _(m):
+    """Users, and how many of them have one score between 0 and 1."""
+    scores = churn.score_users(m.model(m.best), m.users)
+    valid = scores.filter(F.col("churn_probability").between(0, 1)).select("user_id").distinct()
+    return m.users.join(valid.withColumn("scored", F.lit(True)), "user_id", "left").agg(
+        F.count(F.lit(1)).alias("n_users"), F.count("scored").alias("n_scored")
+    )
 
 
 @query("top_risk_users")
 def _(m):
-    return churn.top_risk_users(churn.score_users(m.model(churn.LOGISTIC), m.users), m.users)
+    """By the best model."""
+    return churn.top_risk_users(churn.score_users(m.model(m.best), m.users), m.users)
 
 
 @query("revenue_at_risk")
@@ -866,3 +922,24 @@ def _(m):
 @query("snapshot_json")
 def _(m):
     return snapshot.snapshot_json(*_snapshot_parts(m))
+
+
+@query("snapshot_json_values")
+def _(m):
+    """The document read back into the long form."""
+    return snapshot.snapshot_values(snapshot.snapshot_json(*_snapshot_parts(m)))
+
+
+@query("confusion_matrix_half")
+def _(m):
+    return churn.confusion_matrix(_fixed_scores(m))
+
+
+@query("classification_report_half")
+def _(m):
+    return churn.classification_report(churn.confusion_matrix(_fixed_scores(m)))
+
+
+@query("preference_breakdown_all")
+def _(m):
+    return segments.preference_breakdown(m.users, "preferred_category")

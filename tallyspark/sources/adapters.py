@@ -12,18 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.plans.joins import join_lookup
+from tallyspark.sources.schema import RAW_EVENTS
 
-RAW_COLUMNS = [
-    "event_time",
-    "event_type",
-    "product_id",
-    "category_id",
-    "category_code",
-    "brand",
-    "price",
-    "user_id",
-    "user_session",
-]
+RAW_COLUMNS = RAW_EVENTS.names
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -104,7 +95,7 @@ def click_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws("-", F.col("user_id"), F.to_date(F.col("ts"))),
         ).alias("user_session"),
     )
-    return join_lookup(clicks, _products(spark, sf_dir), "product_id", salt_on="event_id").select(
+    return join_lookup(clicks, _products(spark, sf_dir), "product_id").select(
         *RAW_COLUMNS
     )
 

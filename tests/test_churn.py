@@ -102,6 +102,36 @@ def test_models_train_and_compare(users):
     assert [r["churn_probability"] for r in top] == sorted((r["churn_probability"] for r in top), reverse=True)
 
 
+def test_fits_do_not_depend_on_partitions(users):
+    spark, results = users.sparkSession, []
+    for parts in (1, 3, 8):
+        prepared = churn.prepare(users.repartition(parts))
+        assert prepared.train.rdd.getNumPartitions() == -(-prepared.n_train // churn.ROWS_PER_PARTITION)
+        found = []
+        for name in (churn.FOREST, churn.BOOSTED):
+            model = churn.fit(prepared, name, rounds=3)
+            scored = churn.score_test(prepared, model)
+            found.append(churn.auc(scored).first()["auc"])
+            found += [tuple(r) for r in churn.feature_importance(spark, model, prepared.names).collect()]
+        results.append(found)
+    assert results[0] == results[1] == results[2]
+
+
+def test_every_model_is_evaluated(users):
+    out = churn.train_compare(users, names=(churn.LOGISTIC,), rounds=2)
+    got = out.evaluations[churn.LOGISTIC]
+    n_test = churn.prepare(users).test.count()
+    assert got.confusion.agg({"n": "sum"}).first()[0] == n_test
+    assert got.report.count() == 5 and got.importance.count() == 15
+    assert got.roc.agg({"tpr": "max"}).first()[0] == 1.0 and 0 <= got.auc.first()["auc"] <= 1
+
+
+def test_highest_risk_is_a_broadcast(users):
+    scores = users.select("user_id", F.lit(0.5).alias("churn_probability"))
+    plan = churn.top_risk_users(scores, users)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_risk_without_churned_users(users):
     active = users.withColumn("is_churned", F.lit(0))
     assert tuple(churn.revenue_at_risk(active).first()) == (0, 0.0, 0.0)

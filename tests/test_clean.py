@@ -90,3 +90,11 @@ def test_quality_report_without_rows(raw_of):
 def test_vocabulary_is_a_subset(events_of):
     events = events_of([(T0, k, 1, i, "s") for i, k in enumerate([*EVENT_TYPES, "signup"])])
     assert {r["event_type"] for r in events.collect()} == set(EVENT_TYPES)
+
+
+def test_unreadable_prices_count_as_zero(spark):
+    frame = spark.createDataFrame(
+        [("inf",), ("Infinity",), ("-Infinity",), ("NaN",), ("1e15",), ("x",), (None,), ("-3",), ("12000000000.25",)], "price string"
+    )
+    got = [r["price"] for r in clean.coerce_price(frame).collect()]
+    assert got == [0.0] * 8 + [12000000000.25]

@@ -30,6 +30,19 @@ def test_csv_in_any_column_order(spark, tmp_path):
     assert store.read_events_csv(spark, str(path), nrows=1).count() == 1
 
 
+def test_csv_files_with_different_headers(spark, tmp_path):
+    names = HEADER.split(",")
+    swapped = [{"user_id": "product_id", "product_id": "user_id"}.get(n, n) for n in names]
+    row = "s1,2019-10-01 00:00:00 UTC,view,1,2,a.b,acme,1.5,9\n"
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + row)
+    (tmp_path / "b.csv").write_text(",".join(names) + "\n" + row)
+    both = str(tmp_path / "*.csv")
+    assert [(r["product_id"], r["user_id"]) for r in store.read_events_csv(spark, both).collect()] == [(1, 9)] * 2
+    (tmp_path / "b.csv").write_text(",".join(swapped) + "\n" + row)
+    with pytest.raises(Exception, match="(?i)header"):
+        store.read_events_csv(spark, both).collect()
+
+
 def test_csv_with_missing_columns(spark, tmp_path):
     path = tmp_path / "events.csv"
     path.write_text("event_time,event_type\n2019-10-01,view\n")
@@ -84,13 +97,17 @@ def test_named_parameters(spark):
 def test_lookup_join_both_ways(spark):
     big = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
     lookup = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    small = join_lookup(big, lookup, "k", salt_on="id")
-    large = join_lookup(big, lookup, "k", salt_on="id", limit=0)
-    plain = join_lookup(big, lookup, "k", limit=0)
-    want = sorted(map(tuple, small.collect()))
-    assert sorted(map(tuple, large.collect())) == want == sorted(map(tuple, plain.collect()))
+    want = sorted(map(tuple, join_lookup(big, lookup, "k").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = join_lookup(big, lookup, "k")
+        assert sorted(map(tuple, large.collect())) == want
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert len(want) == 667
-    assert "_salt" not in large.columns
 
 
 def test_a_cluster_without_shared_folder_is_an_error():

@@ -1,6 +1,8 @@
 import pytest
 
-from tallyspark.operators import tables, warehouse
+from pyspark.sql import functions as F
+
+from tallyspark.operators import churn, clean, metrics, segments, tables, warehouse
 
 A, B, C = ("2024-01-01 10:00:00", "2024-01-01 10:05:00", "2024-01-02 09:00:00")
 
@@ -104,3 +106,22 @@ def test_a_hot_user_does_not_change_results(spark, events_of, share_of_one, rows
         assert got[user]["n_sessions"] == len({r[4] for r in mine})
         assert got[user]["n_products"] == len({r[2] for r in mine})
         assert got[user]["customer_lifetime_value"] == sum(r[5] for r in mine if r[1] == "purchase")
+
+
+def test_large_money_fits_everywhere(raw_of):
+    rows = [(f"2019-10-{d:02d} 10:00:00 UTC", "purchase", 1, 7, f"s{d}", 1.2e10 + d, "acme", "toys.cars") for d in (1, 2, 3)]
+    rows += [("2019-10-04 10:00:00 UTC", "view", 2, 8, "t", float("inf"), "b", "x.y"), ("2019-10-05 09:00:00 UTC", "purchase", 2, 9, "u", float("inf"), "b", "x.y")]
+    events = clean.clean_events(raw_of(rows))
+    users = tables.user_metrics(events)
+    spent = {r["user_id"]: r["customer_lifetime_value"] for r in users.collect()}
+    assert spent == {7: 3.6e10 + 6, 8: 0.0, 9: 0.0}
+    assert {r["product_id"]: r["revenue"] for r in tables.product_metrics(events).collect()} == {1: 3.6e10 + 6, 2: 0.0}
+    assert tables.session_metrics(events).agg({"revenue": "sum"}).first()[0] == 3.6e10 + 6
+    assert tables.daily_activity(events).agg({"revenue": "sum"}).first()[0] == 3.6e10 + 6
+    days = tables.user_days(events)
+    assert metrics.executive_kpis(days, users).first()["total_revenue"] == 3.6e10 + 6
+    assert segments.preference_breakdown(users).first()["revenue"] == 3.6e10 + 6
+    assert segments.segment_summary(segments.assign_segments(users)).agg({"total_revenue": "max"}).first()[0] == 3.6e10 + 6
+    gone = users.withColumn("is_churned", F.lit(1))
+    assert churn.revenue_at_risk(gone).first()["revenue_at_risk"] == 3.6e10 + 6
+    assert churn.churn_overview(users.withColumn("is_churned", F.lit(0))).first()["avg_active_clv"] > 1e10
