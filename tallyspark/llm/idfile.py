@@ -27,8 +27,10 @@ END_ID = 0
 #: Pieces that the vocabulary's own splitting never joins: a word with the space before it, or
 #: white space. Only valid without the characters below.
 _PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: Other white space, and special tokens: such texts are encoded in one go.
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
+#: Code points of other white space. Texts with one of them, or with the start of a special token,
+#: are encoded in one go.
+_SPACES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_WHOLE = re.compile("[" + "".join(map(chr, _SPACES)) + r"]|<\|")
 
 
 class TextEncoder:
