@@ -29,7 +29,7 @@ SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 UNDECIDED = "und"
 #: Texts handled at once, in bytes; arrays over letters are built this many letters at a time.
-_BATCH, _SLICE = 4 << 20, 1 << 20
+_BATCH, _SLICE = 2 << 20, 1 << 19
 
 # First code points of Unicode ranges and the script of each.
 SCRIPT_STARTS = (
@@ -47,15 +47,14 @@ SCRIPTS = tuple(dict.fromkeys(name for _, name in SCRIPT_STARTS))
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each code point: whether it is a letter, its lower-case form, its script."""
-    points = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in points), bool, len(points))
-    lower = np.arange(len(points), dtype=np.uint32)
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    lower = np.arange(len(letter), dtype=np.uint32)
     for i in np.flatnonzero(letter[:0x10000]).tolist():
-        if len(low := points[i].lower()) == 1:
+        if len(low := chr(i).lower()) == 1:
             lower[i] = ord(low)
     starts = np.array([s for s, _ in SCRIPT_STARTS])
     ids = np.array([SCRIPTS.index(n) for _, n in SCRIPT_STARTS], np.int8)
-    return letter, lower, ids[np.searchsorted(starts, np.arange(len(points)), "right") - 1]
+    return letter, lower, ids[np.searchsorted(starts, np.arange(len(letter)), "right") - 1]
 
 
 @dataclass

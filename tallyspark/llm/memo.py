@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from struct import pack
 
 import numpy as np
 
 #: Words in each of the two generations that a worker keeps.
-GENERATION = 250_000
+GENERATION = 120_000
 
 
 def tokenizer(path: str):
@@ -74,6 +75,7 @@ class PieceEncoder:
 
     def __init__(self, made, width: str):
         self.tokenizer, self.model, self.width = made, made.model, width
+        self.code = {"<u2": "H", "<u4": "I"}[width]
         self.letters = _byte_letters()
         self.marks: dict[str, bytes] = {"": b""}
         self.lower: bool | None = None
@@ -99,7 +101,7 @@ class PieceEncoder:
         if lower:
             word = word.lower()
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], self.width).tobytes() + behind
+        return pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens]) + behind
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode() for p in pieces]

@@ -44,7 +44,7 @@ def test_coder_learns_and_blocks_are_independent():
 
 def test_chunked_encoding_equals_the_library(texts):
     own = bpe.ChunkEncoder(PATH + "word_bpe_49k.json")
-    own.words = Memo(own._encode_words, size=50)  # generations turn over
+    own.words = Memo(own.words.encode, size=50)  # generations turn over
     for part in (texts, texts[::-1]):
         want = own.tokenizer.encode_batch(part, add_special_tokens=False)
         got = own.encode(part)
