@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import only, text_batches
-from tallyspark.llm.memo import Memo, tokenizer
+from tallyspark.llm.memo import Memo, PieceEncoder, tokenizer
 
 #: Chunks have 2**CHUNK_BITS bytes on average.
 CHUNK_BITS = 9
 #: Bytes of chunk texts and ids a worker keeps for reuse; beyond it the store starts anew.
-CHUNK_STORE = 48 << 20
+CHUNK_STORE = 16 << 20
 _SPACES = b" \t\n\r\x0b\x0c"
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -71,14 +71,10 @@ class ChunkEncoder:
         for piece, i in pieces.items():
             self.pieces[i] = piece.encode()
         self.width = "<u2" if len(self.pieces) <= 1 << 16 else "<u4"
-        self.words = Memo(self._encode_words)
+        self.words = Memo(PieceEncoder(self.tokenizer, self.width))
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         self.held = 0
 
-    def _encode_words(self, words: list[bytes]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False):
-            yield np.array(found.ids, self.width).tobytes()
-
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
         """(what precedes the first white space, ids in between, what follows the last one), or
         None without white space."""
