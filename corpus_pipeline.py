@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, langid, lines, mixing, simhash
-from tallyspark.llm.common import documents, importable
+from tallyspark.llm.common import documents, workers_ready
 from tallyspark.plans.shared import written
 
 VOCABULARY = os.path.join(os.environ.get("TALLY_TOKENIZERS", "/opt/tokenizers"), "word_bpe_49k.json")
@@ -20,7 +20,7 @@ VOCABULARY = os.path.join(os.environ.get("TALLY_TOKENIZERS", "/opt/tokenizers"),
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter go; `lang` becomes the identified language."""
-    importable(spark)
+    workers_ready(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
-    importable(spark)
+    workers_ready(spark)
     return simhash.simhash_dedup(docs)
 
 
@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
-    importable(spark)
+    workers_ready(spark)
     return bpe.encode_documents(docs, VOCABULARY).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )

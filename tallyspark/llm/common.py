@@ -15,9 +15,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where they share the driver's folders; elsewhere it is
-    installed or added with addPyFile, as any package."""
+#: Rows in an Arrow batch, unless the session names a number of its own: texts are long, and a batch
+#: is held on both sides of a worker.
+BATCH_ROWS = 1000
+_ROWS_SETTING, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def workers_ready(spark: SparkSession) -> None:
+    """Bound Arrow batches, and let Python workers find this package where they share the driver's
+    folders; elsewhere it is installed or added with addPyFile, as any package."""
+    if spark.conf.get(_ROWS_SETTING) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
@@ -25,7 +33,7 @@ def importable(spark: SparkSession) -> None:
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    importable(spark)
+    workers_ready(spark)
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{table}.parquet")
 
 
@@ -54,7 +62,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 
 #: Bytes of text that a Python worker holds as strings at once, but for a longer single text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def only(batch: pa.RecordBatch, *names: str) -> dict[str, pa.Array]:

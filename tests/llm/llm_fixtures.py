@@ -1,6 +1,6 @@
 import pytest
 
-from tallyspark.llm.common import importable
+from tallyspark.llm.common import workers_ready
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARIES = "/opt/tokenizers"
@@ -10,7 +10,7 @@ VOCABULARIES = "/opt/tokenizers"
 def docs_of(spark):
     """Documents from texts or (doc_id, text[, lang, source]) tuples, with columns that clash with
     names used inside the operators."""
-    importable(spark)
+    workers_ready(spark)
 
     def build(rows):
         full = []

@@ -95,11 +95,12 @@ def test_buckets_over_batches(spark):
     random.seed(6)
     values = sorted({random.getrandbits(12) for _ in range(900)} | {random.getrandbits(64) >> 1 for _ in range(300)})
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
         links = simhash.near_links(frame, 4).collect()
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     at = {v: i for i, v in enumerate(values)}
     assert all((u ^ v).bit_count() <= 4 or u in at for u, v in links)
     a, b = (np.array([at[x] for x in c], np.int64) for c in zip(*links))
