@@ -27,7 +27,7 @@ EDIT_CHARS = 40
 MIN_CHARS = 10
 #: Lines compared together: a key with more is cut into blocks, and each pair of blocks is a group.
 BLOCK = 64
-_TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def _line_id(line: Column) -> Column:
@@ -40,7 +40,7 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     lines = docs.select(
         F.col(id_column).alias("doc_id"), F.posexplode(F.split(whole_text(text_column), "\n")).alias("no", "line")
     )
-    return lines.withColumn("line", F.regexp_replace("line", _TRIM, ""))
+    return lines.withColumn("line", F.trim(F.col("line"), F.lit(_SPACES)))
 
 
 def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -59,7 +59,8 @@ def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
 def keys(lines: DataFrame, edits: int) -> DataFrame:
     """(key, line64, indexed) of `lines` (line, line64, n): a line's own segments, and the substrings
     that can match a segment of a line of its length or up to `edits` less. What equals an own
-    segment's place is not probed again."""
+    segment's place is not probed again. Lines have more than 2 * `edits` code points: then no
+    segment is empty, and every shifted substring lies inside its line."""
     k = edits + 1
     rows = []
     for shorter in range(edits + 1):
@@ -69,12 +70,9 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
             high = min(i - 1, shorter + (k - i))
             for shift in range(low, high + 1):
                 own = shorter == 0 and shift == 0
-                at = start + shift
-                key = F.xxhash64(target, F.lit(i), F.substring(F.col("line"), at, length))
-                inside = (at >= 1) & (at + length - 1 <= F.col("n"))
-                rows.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("indexed"))))
-    found = F.filter(F.array(*rows), lambda r: r.isNotNull())
-    return lines.select("line64", F.explode(found).alias("k")).select("k.key", "line64", "k.indexed")
+                part = F.substring(F.col("line"), start + shift, length)
+                rows.append(F.struct(F.xxhash64(target, F.lit(i), part).alias("key"), F.lit(own).alias("indexed")))
+    return lines.select("line64", F.inline(F.array(*rows))).select("key", "line64", "indexed")
 
 
 #: Steps of the search for a shared end, in code points: lines of up to 2**25 of them.
@@ -218,7 +216,7 @@ def _group_links(members: Column, edits: int) -> Column:
 
 def edit_links(lines: DataFrame, edits: int) -> DataFrame:
     """Links (u, v) between different lines at most `edits` edits apart, enough to connect all such
-    lines. `lines` has id (binary), line, and no repeats; lines have more than `edits` code points."""
+    lines. `lines` has id (binary), line, and no repeats; lines have more than 2 * `edits` code points."""
     texts = lines.select("id", "line", F.xxhash64("id").alias("line64"), F.length("line").alias("n"))
     by_key = Window.partitionBy("key")
     # Only keys with an indexed line and another one go on. Nothing but ids is shuffled here.
@@ -252,7 +250,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHA
                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, root) of each line that is linked to another one and is not the smallest id of its
     class; `root` is that smallest id. Equal lines share an id."""
-    found = occurrences(docs, id_column, text_column).filter(F.length("line") >= max(min_chars, edit_chars, edits + 1))
+    found = occurrences(docs, id_column, text_column).filter(F.length("line") >= max(min_chars, edit_chars, 2 * edits + 1))
     lines = written(found.groupBy("line").agg(F.lit(1).alias("_one")).select(_line_id(F.col("line")).alias("id"), "line"), "lines")
     return components(edit_links(lines, edits)).select(F.col("u").alias("id"), F.col("v").alias("root"))
 

@@ -36,7 +36,7 @@ def brute(rows, edits, edit_chars, min_chars):
         ((d is None, d, n, x.strip(" \t\n\x0b\x0c\r")) for d, t, *_ in rows for n, x in enumerate((t or "").split("\n"))),
         key=lambda p: (p[0], p[1] or 0, p[2]),
     )
-    distinct = sorted({x for *_, x in places if len(x) >= max(edit_chars, min_chars, edits + 1)})
+    distinct = sorted({x for *_, x in places if len(x) >= max(edit_chars, min_chars, 2 * edits + 1)})
     root = {x: x for x in distinct}
 
     def find(x):
