@@ -267,9 +267,12 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_C
     )
     labelled = where.join(classes, "id", "left").select("doc_id", "no", F.coalesce("root", "id").alias("class"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("no").alias("c"))
-    firsts = (
+    # Written, so that the join below is between two plain shuffles: there adaptive execution can
+    # split the partition of a line that a large share of all lines is equal to.
+    firsts = written(
         labelled.groupBy("class").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        .select("class", "_first")
+        .select("class", "_first"),
+        "line-firsts",
     )
     return labelled.join(firsts, "class").filter(place != F.col("_first")).select("doc_id", "no", "class")
 
