@@ -21,10 +21,11 @@ from tallyspark.plans.shared import written
 
 #: Lines within this many edits are the same line.
 EDITS = 2
-#: Lines of fewer code points are the same line only if equal: two edits say little there.
-EDIT_CHARS = 40
-#: Lines of fewer code points (without outer white space) are never dropped.
-MIN_CHARS = 10
+#: Lines of fewer code points are the same line only if equal: below, the edits can replace a whole
+#: segment each and a segment can be empty. This is the method's own bound, not a choice.
+EDIT_CHARS = 2 * EDITS + 1
+#: Lines of fewer code points (without outer white space) are never dropped: only empty ones.
+MIN_CHARS = 1
 #: Lines compared together: a key with more is cut into blocks, and each pair of blocks is a group.
 BLOCK = 64
 _SPACES = " \t\n\x0b\x0c\r"

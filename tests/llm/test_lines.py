@@ -102,3 +102,12 @@ def test_odd_rows(odd, none):
     assert {r.doc_id: r.dropped for r in report if r.dropped} == want
     assert sorted(r.text or "" for r in lines.line_dedup(odd).collect())[-1] == "é́ 日本語 \U0001f600 <|endoftext|>"
     assert lines.line_report(none).collect() == [] and lines.line_dedup(none).columns == none.columns
+
+
+def test_short_lines_are_compared_too(docs_of):
+    texts = ["Read more", "Read mere", "See also: notes", "See also: note", "abcde", "abcdX", "1234", "1235", "ok", "ok", "", "", "Read more"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    # Without the module's constants: within two edits from five code points on, equal below.
+    want = brute(rows, 2, 0, 0)
+    assert want == {1: [0], 3: [0], 5: [0], 9: [0], 12: [0]}
+    assert {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == want
