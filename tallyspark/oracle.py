@@ -817,6 +817,13 @@ put(
     )
     + " FROM ev WHERE event_type = 'purchase' GROUP BY category",
 )
+put(
+    "segment_matrix_all", ORDERS + """,
+buys AS (SELECT category, 'm' || replace(event_month, '-', '_') AS month, money
+         FROM ev WHERE event_type = 'purchase')""",
+    """SELECT category, coalesce(CAST(COLUMNS(* EXCLUDE category) AS DOUBLE), 0.0)
+    FROM (PIVOT buys ON month USING sum(money) GROUP BY category)""",
+)
 put("segment_impact_brand", ORDERS + impact("brand"), "SELECT * FROM seg_change")
 CAUSES = DRIVERS + impact("category") + f""",
 drop_rows AS ({drops('rev', 'date', 'revenue', 'revenue', -10)}),

@@ -695,6 +695,13 @@ def _(m):
     return wide.toDF("category", *[f"m{month.replace('-', '_')}" for month in MATRIX_MONTHS])
 
 
+@query("segment_matrix_all")
+def _(m):
+    """Every month with purchases; `segment_matrix` shows three of them."""
+    wide = rootcause.segment_matrix(m.events)
+    return wide.toDF("category", *[f"m{month.replace('-', '_')}" for month in wide.columns[1:]])
+
+
 @query("segment_impact_brand")
 def _(m):
     return rootcause.segment_impact(m.events, "brand")

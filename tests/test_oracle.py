@@ -43,3 +43,9 @@ def test_every_counterpart_has_a_query():
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert [r["stage_no"] for r in rows] == [1, 2, 3, 4]
+
+
+def test_segment_matrix_has_every_month(spark, db):
+    months = db.sql(f"WITH {oracle.ORDERS} SELECT DISTINCT event_month FROM ev WHERE event_type = 'purchase' ORDER BY 1").fetchall()
+    got = QUERIES["segment_matrix_all"](spark, SMALL).columns
+    assert got == ["category", *[f"m{m.replace('-', '_')}" for (m,) in months]] and len(months) > 3
