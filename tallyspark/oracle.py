@@ -623,6 +623,11 @@ put(
     + ", ".join(f"max(CASE WHEN month_number = {i} THEN retention_pct END) AS m{i}" for i in range(7))
     + " FROM cohort_long GROUP BY cohort",
 )
+put(
+    "cohort_matrix_all", ORDERS + FIRSTS + """,
+by_offset AS (SELECT cohort, printf('m%03d', month_number) AS number, retention_pct FROM cohort_long)""",
+    "SELECT * FROM (PIVOT by_offset ON number USING max(retention_pct) GROUP BY cohort)",
+)
 put(
     "cohort_sizes", ORDERS + FIRSTS,
     "SELECT strftime(m0, '%Y-%m') AS cohort, count(*) AS cohort_size FROM firsts GROUP BY 1",

@@ -558,6 +558,13 @@ def _(m):
     return cohort.cohort_matrix(m.days, list(range(7))).toDF("cohort", *[f"m{i}" for i in range(7)])
 
 
+@query("cohort_matrix_all")
+def _(m):
+    """Every month number; `cohort_matrix_wide` shows the first seven."""
+    wide = cohort.cohort_matrix(m.days)
+    return wide.toDF("cohort", *[f"m{int(number):03d}" for number in wide.columns[1:]])
+
+
 @query("cohort_sizes")
 def _(m):
     return cohort.cohort_sizes(m.days)

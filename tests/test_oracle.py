@@ -49,3 +49,9 @@ def test_segment_matrix_has_every_month(spark, db):
     months = db.sql(f"WITH {oracle.ORDERS} SELECT DISTINCT event_month FROM ev WHERE event_type = 'purchase' ORDER BY 1").fetchall()
     got = QUERIES["segment_matrix_all"](spark, SMALL).columns
     assert got == ["category", *[f"m{m.replace('-', '_')}" for (m,) in months]] and len(months) > 3
+
+
+def test_cohort_matrix_has_every_month_number(spark):
+    last = max(r["month_number"] for r in QUERIES["cohort_matrix"](spark, SMALL).collect())
+    got = QUERIES["cohort_matrix_all"](spark, SMALL).columns
+    assert got == ["cohort", *[f"m{i:03d}" for i in range(last + 1)]] and last > 6
