@@ -46,6 +46,8 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
 }
+# What every match of the looser mail pattern contains.
+_AT = re.compile(r"@|\[at\]|\(at\)|\bat\b|\bAT\b")
 # Top-level domains, cue words.
 TOP_LEVEL = frozenset("com org net edu gov mil info io co uk de fr es it nl eu us ca au jp cn in br ru ch at be".split())
 CUES = {
@@ -109,7 +111,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Candidates that overlap no base span, of any kind."""
     found = []
     has_digit = _DIGIT.search(text) is not None
-    if "@" in text or "dot" in text or "DOT" in text:
+    if _AT.search(text):
         found += [(m.start(), 0, m.end()) for m in _LOOSE["email"].finditer(text)]
     if has_digit:
         for kind in (1, 2, 3):

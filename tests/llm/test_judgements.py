@@ -259,3 +259,12 @@ def test_duckdb_is_the_oracle_of_three(spark):
     import __spark_entry__ as contract
 
     assert {n for n in contract.oracle_sql() if re.match(r"op\d", n)} == {"op1_exact_dedup", "op4_chat_format", "op5_mixing"}
+
+
+@pytest.mark.parametrize("at", [" (at) ", " [at] ", " at ", " AT ", "(at)"])
+def test_written_out_addresses_without_dot_word(at):
+    text = f"write to jane{at}example.com today"
+    assert [(text[a:b], k) for a, k, b in pii.loose_spans(text, pii.base_spans(text))] == [(f"jane{at}example.com", 0)]
+    # Unrelated text has no say.
+    more = text + ", see the dot"
+    assert pii.loose_spans(more, pii.base_spans(more)) == pii.loose_spans(text, pii.base_spans(text))
