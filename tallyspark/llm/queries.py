@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, exact, idfile, langid, lines, mixing, pieces, pii, rules, simhash, variants
+from tallyspark.llm import bpe, chat, exact, idfile, langid, lines, mixing, pieces, pii, repair, rules, simhash, variants
 from tallyspark.llm.common import documents, given
 from tallyspark.plans.shared import new_path, written
 
@@ -199,3 +199,8 @@ def op11_piece_codec(spark, sf_dir):
 @query()
 def op12_spelling_variants(spark, sf_dir):
     return variants.spelling_variants(variants.document_words(documents(spark, sf_dir)))
+
+
+@query()
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair_conversations(repair.damaged(given(spark, sf_dir, "conversations")))
