@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,8 @@ SPACE = "▁"
 PAIR_STORE = 400_000
 #: Letters and marks that are cut apart if no piece holds such a letter in front of such a mark.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?)\"'-"
+#: Stretches in each of the two generations that a worker keeps; some 200 bytes each.
+GENERATION = 250_000
 #: Longer stretches between two cuts are encoded each time, so that the store of stretches stays small.
 LONGEST_KEPT = 200
 
@@ -45,7 +48,7 @@ class PieceCodec:
     def __init__(self, path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.library.vocab_size()
-        self.width = "<u2" if size <= 1 << 16 else "<u4"
+        self.width, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
         self.names = [self.library.id_to_piece(i) for i in range(size)]
         plain = [
             i for i in range(size)
@@ -59,13 +62,14 @@ class PieceCodec:
         sound = {name for name in self.score if len(name) == 1 or self.merged(list(name)) == [name]}
         self.automaton = ahocorasick.Automaton()
         for name in sound:
-            self.automaton.add_word(name, name)
+            self.automaton.add_word(name, self.id[name])
         self.automaton.make_automaton()
-        #: The next shorter piece that a piece starts with.
-        self.shorter = {name: next((name[:k] for k in range(len(name) - 1, 0, -1) if name[:k] in sound), "") for name in sound}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.sizes = list(map(len, self.names))
+        #: The next shorter piece that a piece starts with, or -1.
+        self.shorter = [next((self.id[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in sound), -1) for name in self.names]
+        self.pairs: dict[int, bool] = {}  # by left * size + right
         self.stretches = re.compile(self._stretches(), re.DOTALL)
-        self.memo = Memo(lambda found: [self._packed(f.decode()) for f in found])
+        self.memo = Memo(lambda found: [*map(self._packed, found)], GENERATION)
         self.texts = [self._text(i) for i in range(size)]
 
     def merged(self, symbols: list[str], fence: int = 0) -> list[str] | None:
@@ -96,59 +100,68 @@ class PieceCodec:
         word = f"{SPACE}*[{_LETTERS}]+(?=[{marks}])|" if marks else ""
         return f"{word}{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n"
 
-    def _agree(self, left: str, right: str) -> bool:
-        """Whether merging both together anew keeps them apart."""
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= PAIR_STORE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged([*left, *right], len(left)) is not None
+    def _agree(self, left: int, right: int) -> bool:
+        """Whether merging both pieces together anew keeps them apart."""
+        if len(self.pairs) >= PAIR_STORE:
+            self.pairs.clear()
+        names = self.names[left], self.names[right]
+        known = self.pairs[left * len(self.names) + right] = self.merged([*names[0], *names[1]], len(names[0])) is not None
         return known
 
-    def backtracked(self, text: str) -> list[str]:
-        """The pieces of a text of known characters."""
-        end_of_text, longest, agree = len(text), self.automaton.iter_long, self._agree
+    def backtracked(self, text: str) -> list[int]:
+        """The ids of a text of known characters."""
+        longest, pairs, sizes, shorter = self.automaton.iter_long, self.pairs, self.sizes, self.shorter
+        end_of_text, size = len(text), len(self.names)
         failed = bytearray((end_of_text >> 3) + 1)
-        taken: list[str] = []
-        at = 0
-        name = next(longest(text))[1] if text else ""
+        taken: list[int] = []
+        at, matches = 0, longest(text)  # goes on behind each match as long as that is taken
+        piece = next(matches)[1] if text else -1
         while at < end_of_text:
-            while name:
-                to = at + len(name)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or agree(taken[-1], name)):
-                    break
-                name = self.shorter[name]
-            if name:
-                taken.append(name)
+            first = piece
+            while piece >= 0:
+                to = at + sizes[piece]
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    if not taken:
+                        break
+                    if (known := pairs.get(taken[-1] * size + piece)) or (known is None and self._agree(taken[-1], piece)):
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
+                taken.append(piece)
                 at = to
-                name = next(longest(text, at))[1] if at < end_of_text else ""
+                if at < end_of_text:
+                    if piece != first or matches is None:
+                        matches = longest(text, at)
+                    piece = next(matches)[1]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                name = taken.pop()
-                at -= len(name)
-                name = self.shorter[name]
+                piece = taken.pop()
+                at -= sizes[piece]
+                piece, matches = shorter[piece], None
         return taken
 
     def _packed(self, stretch: str) -> bytes:
-        ids: list[int] = []
-        start = 0
+        if self.alphabet.issuperset(stretch):
+            ids = self.backtracked(stretch)
+            return pack(f"<{len(ids)}{self.code}", *ids)
+        ids, start = [], 0
         for i, c in enumerate(stretch):
             if c not in self.alphabet:
-                ids += map(self.id.__getitem__, self.backtracked(stretch[start:i]))
+                ids += self.backtracked(stretch[start:i])
                 start = i + 1
                 ids += [self.byte[b] for b in c.encode()] if self.byte else [self.library.unk_id()]
-        ids += map(self.id.__getitem__, self.backtracked(stretch[start:]))
-        return np.array(ids, self.width).tobytes()
+        ids += self.backtracked(stretch[start:])
+        return pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without begin and end ids."""
         cut = [self.stretches.findall(self.library.normalize(t)) for t in texts]
         if not self.byte:  # the library gives a run of unknown characters one id
             cut = [["".join(own)] if own else [] for own in cut]
-        as_bytes = [[s.encode() for s in own] for own in cut]
-        self.memo.learn({s for own in as_bytes for s in own if len(s) <= LONGEST_KEPT})
+        self.memo.learn({s for own in cut for s in own if len(s) <= LONGEST_KEPT})
         known, out = self.memo.young, []
-        for own in as_bytes:
-            packed = b"".join([known[s] if s in known else self._packed(s.decode()) for s in own])
+        for own in cut:
+            packed = b"".join([known[s] if s in known else self._packed(s) for s in own])
             ids = np.frombuffer(packed, self.width)
             if not self.byte and len(ids):
                 unknown = ids == self.library.unk_id()
