@@ -617,17 +617,18 @@ put(
 # --- cohorts ---------------------------------------------------------------------------------
 
 put("cohort_matrix", ORDERS + FIRSTS, "SELECT * FROM cohort_long")
+COHORT_CELLS = FIRSTS + """,
+cohort_cells AS (
+  SELECT cohort, CAST(number AS BIGINT) AS month_number, retention_pct
+  FROM (SELECT DISTINCT cohort FROM cohort_long)
+  CROSS JOIN (SELECT unnest(range(max(month_number) + 1)) AS number FROM cohort_long)
+  LEFT JOIN (SELECT cohort, month_number AS number, retention_pct FROM cohort_long) USING (cohort, number))"""
 put(
-    "cohort_matrix_wide", ORDERS + FIRSTS,
-    "SELECT cohort, "
-    + ", ".join(f"max(CASE WHEN month_number = {i} THEN retention_pct END) AS m{i}" for i in range(7))
-    + " FROM cohort_long GROUP BY cohort",
-)
-put(
-    "cohort_matrix_all", ORDERS + FIRSTS + """,
-by_offset AS (SELECT cohort, printf('m%03d', month_number) AS number, retention_pct FROM cohort_long)""",
-    "SELECT * FROM (PIVOT by_offset ON number USING max(retention_pct) GROUP BY cohort)",
+    "cohort_matrix_wide", ORDERS + COHORT_CELLS,
+    """SELECT cohort, string_agg(coalesce(CAST(retention_pct AS VARCHAR), ''), ',' ORDER BY month_number) AS cells
+    FROM cohort_cells GROUP BY cohort""",
 )
+put("cohort_matrix_all", ORDERS + COHORT_CELLS, "SELECT * FROM cohort_cells")
 put(
     "cohort_sizes", ORDERS + FIRSTS,
     "SELECT strftime(m0, '%Y-%m') AS cohort, count(*) AS cohort_size FROM firsts GROUP BY 1",
@@ -813,21 +814,20 @@ seg_change AS (
 
 
 put("segment_impact", ORDERS + impact("category"), "SELECT * FROM seg_change")
+SEGMENT_CELLS = """,
+bought AS (SELECT category, event_month, sum(money) AS revenue FROM ev WHERE event_type = 'purchase' GROUP BY ALL),
+segment_cells AS (
+  SELECT category, event_month, coalesce(revenue, 0) AS revenue
+  FROM (SELECT DISTINCT category FROM bought) CROSS JOIN (SELECT DISTINCT event_month FROM bought)
+  LEFT JOIN bought USING (category, event_month))"""
 put(
-    "segment_matrix", ORDERS,
-    "SELECT category, "
-    + ", ".join(
-        f"coalesce(CAST(sum(CASE WHEN event_month = '{month}' THEN money END) AS DOUBLE), 0.0) AS m{month.replace('-', '_')}"
-        for month in ("1998-05", "1998-06", "1998-07")
-    )
-    + " FROM ev WHERE event_type = 'purchase' GROUP BY category",
+    "segment_matrix", ORDERS + SEGMENT_CELLS,
+    """SELECT category, string_agg(CAST(CAST(revenue AS DECIMAL(28,2)) AS VARCHAR), ',' ORDER BY event_month) AS cells
+    FROM segment_cells GROUP BY category""",
 )
 put(
-    "segment_matrix_all", ORDERS + """,
-buys AS (SELECT category, 'm' || replace(event_month, '-', '_') AS month, money
-         FROM ev WHERE event_type = 'purchase')""",
-    """SELECT category, coalesce(CAST(COLUMNS(* EXCLUDE category) AS DOUBLE), 0.0)
-    FROM (PIVOT buys ON month USING sum(money) GROUP BY category)""",
+    "segment_matrix_all", ORDERS + SEGMENT_CELLS,
+    "SELECT category, event_month, CAST(revenue AS DOUBLE) AS revenue FROM segment_cells",
 )
 put("segment_impact_brand", ORDERS + impact("brand"), "SELECT * FROM seg_change")
 CAUSES = DRIVERS + impact("category") + f""",

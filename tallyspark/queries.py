@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.stats import pct_change, safe_corr
@@ -553,16 +553,27 @@ def _(m):
     return cohort.cohort_retention(m.days)
 
 
+def _cells(wide: DataFrame, key: str, of: Callable[[str], Column]) -> DataFrame:
+    """A wide matrix whose columns follow from the data, as one text per row."""
+    return wide.select(key, F.concat_ws(",", *[F.coalesce(of(f"`{c}`"), F.lit("")) for c in wide.columns[1:]]).alias("cells"))
+
+
+def _long(wide: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """Every cell of a wide matrix as a row, empty ones included."""
+    return wide.unpivot([key], wide.columns[1:], column, value)
+
+
 @query("cohort_matrix_wide")
 def _(m):
-    return cohort.cohort_matrix(m.days, list(range(7))).toDF("cohort", *[f"m{i}" for i in range(7)])
+    """Every month number from 0 on, one row per cohort."""
+    return _cells(cohort.cohort_matrix(m.days), "cohort", lambda c: F.col(c).cast("string"))
 
 
 @query("cohort_matrix_all")
 def _(m):
-    """Every month number; `cohort_matrix_wide` shows the first seven."""
-    wide = cohort.cohort_matrix(m.days)
-    return wide.toDF("cohort", *[f"m{int(number):03d}" for number in wide.columns[1:]])
+    """Every cell of the wide matrix, null without activity."""
+    long = _long(cohort.cohort_matrix(m.days), "cohort", "month_number", "retention_pct")
+    return long.withColumn("month_number", F.col("month_number").cast("bigint"))
 
 
 @query("cohort_sizes")
@@ -692,21 +703,16 @@ def _(m):
     return rootcause.segment_impact(m.events)
 
 
-#: Months shown as columns.
-MATRIX_MONTHS = ["1998-05", "1998-06", "1998-07"]
-
-
 @query("segment_matrix")
 def _(m):
-    wide = rootcause.segment_matrix(m.events, months=MATRIX_MONTHS)
-    return wide.toDF("category", *[f"m{month.replace('-', '_')}" for month in MATRIX_MONTHS])
+    """Every month with purchases, one row per category."""
+    return _cells(rootcause.segment_matrix(m.events), "category", lambda c: F.col(c).cast("decimal(28,2)").cast("string"))
 
 
 @query("segment_matrix_all")
 def _(m):
-    """Every month with purchases; `segment_matrix` shows three of them."""
-    wide = rootcause.segment_matrix(m.events)
-    return wide.toDF("category", *[f"m{month.replace('-', '_')}" for month in wide.columns[1:]])
+    """Every cell of the wide matrix, 0 without revenue."""
+    return _long(rootcause.segment_matrix(m.events), "category", "event_month", "revenue")
 
 
 @query("segment_impact_brand")

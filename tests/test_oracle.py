@@ -24,7 +24,8 @@ def db():
 def test_query_matches_sql(spark, db, name):
     frame = QUERIES[name](spark, SMALL)
     rows = [tuple(r) for r in frame.collect()]
-    result = db.sql(ORACLES[name])
+    db.sql(f"CREATE OR REPLACE VIEW counterpart AS {ORACLES[name]}")  # some statements are no views
+    result = db.sql("SELECT * FROM counterpart")
     kinds = compare_types(frame.dtypes, result)
     assert (compare(frame.columns, rows, result.columns, result.fetchall()) or kinds) == ""
 
@@ -45,13 +46,12 @@ def test_entry(spark):
     assert [r["stage_no"] for r in rows] == [1, 2, 3, 4]
 
 
-def test_segment_matrix_has_every_month(spark, db):
-    months = db.sql(f"WITH {oracle.ORDERS} SELECT DISTINCT event_month FROM ev WHERE event_type = 'purchase' ORDER BY 1").fetchall()
-    got = QUERIES["segment_matrix_all"](spark, SMALL).columns
-    assert got == ["category", *[f"m{m.replace('-', '_')}" for (m,) in months]] and len(months) > 3
-
-
-def test_cohort_matrix_has_every_month_number(spark):
+def test_matrices_have_every_cell(spark, db):
+    months = db.sql(f"WITH {oracle.ORDERS} SELECT count(DISTINCT event_month) FROM ev WHERE event_type = 'purchase'").fetchall()[0][0]
+    wide, cells = (QUERIES[name](spark, SMALL) for name in ("segment_matrix", "segment_matrix_all"))
+    assert months > 3 and {len(r["cells"].split(",")) for r in wide.collect()} == {months}
+    assert cells.count() == months * wide.count()
     last = max(r["month_number"] for r in QUERIES["cohort_matrix"](spark, SMALL).collect())
-    got = QUERIES["cohort_matrix_all"](spark, SMALL).columns
-    assert got == ["cohort", *[f"m{i:03d}" for i in range(last + 1)]] and last > 6
+    wide, cells = (QUERIES[name](spark, SMALL) for name in ("cohort_matrix_wide", "cohort_matrix_all"))
+    assert last > 6 and {len(r["cells"].split(",")) for r in wide.collect()} == {last + 1}
+    assert cells.count() == (last + 1) * wide.count()
