@@ -106,7 +106,7 @@ def logistic_model(names: list[str], n_train: int) -> Pipeline:
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     model = LogisticRegression(
         labelCol=TARGET, weightCol="balanced_weight", maxIter=1000, regParam=1.0 / n_train,
-        elasticNetParam=0.0, standardization=False, tol=1e-6,
+        elasticNetParam=0.0, standardization=False, tol=1e-12,
     )
     return Pipeline(stages=[_assembler(names, "raw"), scaler, model])
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from tallyspark.operators.churn import DEFAULT_ACTION, DRIVER_ACTIONS, FEATURE_COLUMNS
+from tallyspark.operators.churn import DEFAULT_ACTION, DRIVER_ACTIONS, FEATURE_COLUMNS, MODELS
 from tallyspark.operators.experiments import DO_NOT_SHIP, MORE_DATA, SHIP
 from tallyspark.functions.stats import TAIL_DENOMINATOR, TAIL_NUMERATOR
 
@@ -948,6 +948,80 @@ put(
     CASE WHEN label = 1 THEN (SELECT n FROM c WHERE label = 0) / n::DOUBLE ELSE 1.0::DOUBLE END AS boosted_weight
     FROM c""",
 )
+#: Newton steps written out below; more than the fit needs, the last ones change nothing.
+NEWTON_STEPS = 12
+INPUTS = [f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in FEATURE_COLUMNS]
+LOGISTIC = """,
+split_users AS (
+  SELECT *, row_number() OVER (PARTITION BY is_churned ORDER BY md5('42:' || CAST(user_id AS VARCHAR)), user_id)
+      <= ceil(0.25 * count(*) OVER (PARTITION BY is_churned)) AS is_test
+  FROM us),
+class_size AS (SELECT is_churned, count(*) AS n, sum(count(*)) OVER () AS everyone
+               FROM split_users WHERE NOT is_test GROUP BY 1),
+tall AS (
+""" + "\nUNION ALL ".join(
+    f"  SELECT user_id, is_churned, is_test, {i} AS i, {x} AS raw FROM split_users" for i, x in enumerate(INPUTS, 1)
+) + """),
+scale AS (SELECT i, avg(raw) AS mean, stddev_samp(raw) AS spread FROM tall WHERE NOT is_test GROUP BY i),
+x AS MATERIALIZED (
+  SELECT user_id, is_churned, is_test, i, CASE WHEN spread > 0 THEN (raw - mean) / spread ELSE 0.0::DOUBLE END AS v
+  FROM tall JOIN scale USING (i)
+  UNION ALL SELECT user_id, is_churned, is_test, 0, 1.0::DOUBLE FROM split_users),
+w AS (SELECT user_id, is_churned AS y, everyone / (2 * n)::DOUBLE AS w
+      FROM split_users JOIN class_size USING (is_churned) WHERE NOT is_test),
+beta0 AS (SELECT i, 0.0::DOUBLE AS b FROM (SELECT unnest(range(""" + str(len(FEATURE_COLUMNS) + 1) + """)) AS i))"""
+for _step in range(1, NEWTON_STEPS + 1):
+    # The weighted Gram matrix with the gradient as its last column, reduced to the unit matrix.
+    LOGISTIC += f""",
+p{_step} AS MATERIALIZED (
+  SELECT user_id, w, y, 1 / (1 + exp(-z)) AS p
+  FROM (SELECT user_id, sum(v * b) AS z FROM x JOIN beta{_step - 1} USING (i) WHERE NOT is_test GROUP BY user_id)
+  JOIN w USING (user_id)),
+gram{_step} AS MATERIALIZED (
+  SELECT a.i AS r, c.i AS c, sum(w * p * (1 - p) * a.v * c.v) + CASE WHEN a.i = c.i AND a.i > 0 THEN 1 ELSE 0 END AS m
+  FROM p{_step} JOIN x AS a USING (user_id) JOIN x AS c USING (user_id) GROUP BY 1, 2
+  UNION ALL
+  SELECT i, {len(FEATURE_COLUMNS) + 1}, sum(w * (p - y) * v) + max(CASE WHEN i > 0 THEN b ELSE 0 END)
+  FROM p{_step} JOIN x USING (user_id) JOIN beta{_step - 1} USING (i) GROUP BY i),
+solve{_step} AS (
+  SELECT 0 AS k, r, c, m FROM gram{_step}
+  UNION ALL
+  SELECT k + 1, r, c, CASE WHEN r = k THEN m / head ELSE m - in_row * in_column / head END
+  FROM (SELECT k, r, c, m, max(CASE WHEN r = k AND c = k THEN m END) OVER () AS head,
+               max(CASE WHEN c = k THEN m END) OVER (PARTITION BY r) AS in_row,
+               max(CASE WHEN r = k THEN m END) OVER (PARTITION BY c) AS in_column
+        FROM solve{_step} WHERE k <= {len(FEATURE_COLUMNS)})),
+beta{_step} AS MATERIALIZED (
+  SELECT i, b - m AS b FROM beta{_step - 1} JOIN solve{_step} ON r = i
+  WHERE k = {len(FEATURE_COLUMNS) + 1} AND c = {len(FEATURE_COLUMNS) + 1})"""
+LOGISTIC += f""",
+lr_scored AS (
+  SELECT user_id, is_churned AS label, 1 / (1 + exp(-sum(v * b))) AS score
+  FROM x JOIN beta{NEWTON_STEPS} USING (i) WHERE is_test GROUP BY ALL)"""
+AS_RECURSIVE = "RECURSIVE "
+put(
+    "logreg_coefficients", AS_RECURSIVE + OU + LOGISTIC,
+    f"SELECT [{', '.join(repr(c) for c in ('(intercept)', *FEATURE_COLUMNS))}][i + 1] AS feature, "
+    f"round(b, 6) AS coefficient, true AS agrees FROM beta{NEWTON_STEPS}",
+)
+put("logreg_scores", AS_RECURSIVE + OU + LOGISTIC, "SELECT user_id, label, round(score, 6) AS score FROM lr_scored")
+put(
+    "churn_logreg", AS_RECURSIVE + OU + LOGISTIC,
+    f"""SELECT '{MODELS[0]}' AS model, round(sum(CASE WHEN p.score > n.score THEN 2 WHEN p.score = n.score THEN 1 ELSE 0 END)
+      / (2 * count(*))::DOUBLE, 4) AS auc, 1 AS is_best
+    FROM lr_scored AS p, lr_scored AS n WHERE p.label = 1 AND n.label = 0""",
+)
+HELD_OUT = """, h AS (SELECT user_id, row_number() OVER (
+      PARTITION BY is_churned ORDER BY md5('42:' || CAST(user_id AS VARCHAR)), user_id) AS r,
+      count(*) OVER (PARTITION BY is_churned) AS n FROM us)
+    SELECT user_id, true AS agrees FROM h WHERE r <= ceil(0.25 * n)"""
+put("forest_table_scores", OU, HELD_OUT)
+put("boosted_table_scores", OU, HELD_OUT)
+put(
+    "tree_importances", OU,
+    f"SELECT m AS model, f AS feature, true AS agrees FROM (SELECT unnest({list(MODELS[1:])}) AS m), "
+    f"(SELECT unnest({FEATURE_COLUMNS}) AS f)",
+)
 SCORED = """,
 scored AS (SELECT user_id, is_churned AS label,
            round((1 + n_cart) / (1.0::DOUBLE + total_events), 4) AS score FROM us)"""

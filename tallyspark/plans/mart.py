@@ -15,7 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import churn, clean, tables
+from tallyspark.operators import churn, clean, models, tables
 from tallyspark.plans.shared import written
 from tallyspark.session import tune
 from tallyspark.sources.adapters import click_raw, order_raw
@@ -64,6 +64,16 @@ class Mart:
         """A churn model, trained once per application."""
         return churn.fit(self.prepared, name)
 
+    @cached_property
+    def newton(self) -> tuple:
+        """Coefficients and scales of the logistic model by Newton's method."""
+        return models.newton_logistic(self.prepared)
+
+    @cache
+    def nodes(self, name: str) -> DataFrame:
+        """The node table of a tree model."""
+        return self._keep(models.tree_nodes(self.model(name)), "nodes")
+
     @cached_property
     def compared(self) -> DataFrame:
         """All models on the held-out users."""

@@ -23,6 +23,7 @@ from tallyspark.operators import (
     filters,
     funnel,
     metrics,
+    models,
     rootcause,
     segments,
     snapshot,
@@ -828,6 +829,49 @@ def _(m):
     return _quality(m, churn.LOGISTIC)
 
 
+@query("logreg_coefficients")
+def _(m):
+    """By Newton's method, next to the fitted model's."""
+    fitted = models.fitted_coefficients(m.model(churn.LOGISTIC))
+    table = models.coefficient_table(m.spark, m.prepared.names, m.newton[0], fitted)
+    return table.withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query("logreg_scores")
+def _(m):
+    """Held-out users by the coefficients of Newton's method."""
+    scores = models.logistic_scores(m.prepared.test, m.prepared.names, *m.newton)
+    return scores.withColumn("score", F.round("score", 6))
+
+
+def _table_scores(m: Mart, name: str) -> DataFrame:
+    return models.tree_scores(m.prepared.test, m.prepared.names, m.nodes(name), name == churn.BOOSTED)
+
+
+@query("forest_table_scores")
+def _(m):
+    """Whether the forest's node table gives every held-out user the model's score."""
+    return models.score_agreement(m.scored(churn.FOREST), _table_scores(m, churn.FOREST))
+
+
+@query("boosted_table_scores")
+def _(m):
+    """Whether the boosted trees' node table gives every held-out user the model's score."""
+    return models.score_agreement(m.scored(churn.BOOSTED), _table_scores(m, churn.BOOSTED))
+
+
+@query("tree_importances")
+def _(m):
+    """Whether each tree model's importances equal the gains summed over its node table."""
+
+    def of(name: str) -> DataFrame:
+        fitted = churn.feature_importance(m.spark, m.model(name), m.prepared.names)
+        summed = models.tree_importance(m.nodes(name), m.prepared.names, name == churn.BOOSTED)
+        return models.importance_agreement(fitted, summed).select(F.lit(name).alias("model"), "*")
+
+    return of(churn.FOREST).unionByName(of(churn.BOOSTED))
+
+
 @query("churn_random_forest")
 def _(m):
     return _quality(m, churn.FOREST)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import churn
+from tallyspark.operators import churn, models
 from tallyspark.plans.mart import mart
 from tallyspark.plans.ordered import exact_quantile, running_totals
 
@@ -142,3 +142,50 @@ def test_weights_balance_the_classes(users):
     rows = {r["label"]: r for r in churn.class_weights(users).collect()}
     assert rows[0]["n"] * rows[0]["balanced_weight"] == pytest.approx(rows[1]["n"] * rows[1]["balanced_weight"])
     assert rows[1]["boosted_weight"] == rows[0]["n"] / rows[1]["n"]
+
+
+@pytest.fixture(scope="module")
+def prepared(users):
+    return churn.prepare(users)
+
+
+def test_newton_equals_the_fitted_model(spark, prepared):
+    beta, scales = models.newton_logistic(prepared)
+    model = churn.fit(prepared, churn.LOGISTIC)
+    table = models.coefficient_table(spark, prepared.names, beta, models.fitted_coefficients(model)).collect()
+    assert len(table) == 16 and table[0]["feature"] == models.INTERCEPT and all(r["agrees"] for r in table)
+    own = models.logistic_scores(prepared.test, prepared.names, beta, scales)
+    agree = models.score_agreement(churn.score_test(prepared, model), own, 1e-5)
+    assert [r["agrees"] for r in agree.collect()] == [True] * prepared.test.count()
+
+
+def test_newton_with_a_constant_feature_and_a_separable_one(spark):
+    rows = [(i, 1.0, float(i), int(i >= 50)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "user_id long, n_views double, n_cart double, is_churned int")
+    ready = churn.prepare(frame)
+    beta, scales = models.newton_logistic(ready)
+    assert beta[1] == 0.0 and beta[2] > 1 and scales[0] == (1.0, 0.0)
+    fitted = models.fitted_coefficients(churn.fit(ready, churn.LOGISTIC))
+    assert max(abs(beta - fitted)) < 1e-5
+
+
+@pytest.mark.parametrize("name", [churn.FOREST, churn.BOOSTED])
+def test_node_tables_equal_the_models(spark, prepared, name):
+    model = churn.fit(prepared, name, rounds=7)
+    nodes = models.tree_nodes(model)
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema) == models.NODES
+    trees = model.stages[-1].trees
+    assert nodes.count() == sum(t.numNodes for t in trees) and models.depth(nodes) == max(t.depth for t in trees)
+    boosted = name == churn.BOOSTED
+    by_table = models.tree_scores(prepared.test, prepared.names, nodes, boosted)
+    agree = models.score_agreement(churn.score_test(prepared, model), by_table)
+    assert [r["agrees"] for r in agree.collect()] == [True] * prepared.test.count()
+    summed = models.tree_importance(nodes, prepared.names, boosted)
+    agree = models.importance_agreement(churn.feature_importance(spark, model, prepared.names), summed)
+    assert [r["agrees"] for r in agree.collect()] == [True] * 15
+
+
+def test_agreement_sees_differences(spark):
+    one = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.5)], "user_id long, score double")
+    two = spark.createDataFrame([(1, 0.5), (2, 0.6), (4, 0.5)], "user_id long, score double")
+    assert {tuple(r) for r in models.score_agreement(one, two).collect()} == {(1, True), (2, False), (3, False), (4, False)}
