@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import exact_total, or_zero
-from tallyspark.plans.ordered import exact_quantile
+from tallyspark.plans.ordered import exact_quantiles
 
 TOP_QUARTILE = 0.75
 TOP_PREFERENCES = 8
+CUT_COLUMNS = ("customer_lifetime_value", "purchase_frequency")
 
 # Segment names.
 HIGH_VALUE = "High Value Customer"
@@ -19,11 +20,16 @@ AT_RISK = "At-Risk Customer"
 WINDOW_SHOPPER = "Window Shopper"
 
 
-def assign_segments(users: DataFrame) -> DataFrame:
-    """Add `segment`. The two upper quartiles are exact, over all given users; the first matching
-    rule wins."""
-    clv_cut = exact_quantile(users, "customer_lifetime_value", TOP_QUARTILE, "cut").scalar()
-    often_cut = exact_quantile(users, "purchase_frequency", TOP_QUARTILE, "cut").scalar()
+def segment_cuts(users: DataFrame) -> dict[str, float | None]:
+    """The upper quartiles that segments are cut at, exact, over all given users; two counting passes
+    over two columns."""
+    return exact_quantiles(users, dict.fromkeys(CUT_COLUMNS, TOP_QUARTILE))
+
+
+def assign_segments(users: DataFrame, cuts: dict[str, float | None] | None = None) -> DataFrame:
+    """Add `segment`; the first matching rule wins. Without `cuts` those of the given users are
+    taken. Users are neither shuffled nor written."""
+    clv_cut, often_cut = (F.lit((cuts or segment_cuts(users))[c]).cast("double") for c in CUT_COLUMNS)
     valuable = F.col("customer_lifetime_value") >= clv_cut
     often = F.col("purchase_frequency") >= often_cut
     segment = (

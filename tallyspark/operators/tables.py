@@ -30,12 +30,27 @@ def _type_counts() -> dict[str, Column]:
     return {name: F.count_if(is_type(kind)) for name, kind in kinds.items()}
 
 
+#: Microseconds from the year 1 to 1970, and what a user id is raised by: both make a key positive.
+_YEAR_ONE, _ID_SHIFT = 62_135_596_800_000_000, 1 << 63
+
+
+def _first_user() -> tuple[Column, Callable[[Column], Column]]:
+    """A number that orders events by (time, user), and the user in it. Its least value is found by
+    hash aggregation; `min_by` over a struct has no fixed-width buffer and sorts all events."""
+    at = (F.unix_micros("event_time").cast("decimal(18,0)") + F.lit(_YEAR_ONE).cast("decimal(17,0)")).cast("decimal(18,0)")
+    span = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    shifted = (F.col("user_id").cast("decimal(19,0)") + F.lit(str(_ID_SHIFT)).cast("decimal(19,0)")).cast("decimal(20,0)")
+    key = (at * span).cast("decimal(38,0)") + shifted
+    return key.cast("decimal(38,0)"), lambda least: (least % span - F.lit(str(_ID_SHIFT)).cast("decimal(19,0)")).cast("bigint")
+
+
 def session_metrics(events: DataFrame) -> DataFrame:
     """One row per session. The session's user is that of its earliest event (lowest id on a
-    tie). The product count is a distinct aggregate, planned in two phases, so the session of
+    tie; for times from the year 1 on). The product count is a distinct aggregate, planned in two phases, so the session of
     all session-less events is combined before and after its shuffle."""
+    order, user_in = _first_user()
     sessions = events.groupBy("user_session").agg(
-        F.min_by("user_id", F.struct("event_time", "user_id")).alias("user_id"),
+        user_in(F.min(order)).alias("user_id"),
         F.min("event_time").alias("session_start"),
         F.max("event_time").alias("session_end"),
         F.count(F.lit(1)).alias("n_events"),

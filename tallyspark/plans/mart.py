@@ -15,7 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import churn, clean, models, tables
+from tallyspark.operators import churn, clean, models, segments, tables
 from tallyspark.plans.shared import written
 from tallyspark.session import tune
 from tallyspark.sources.adapters import click_raw, order_raw
@@ -51,6 +51,11 @@ class Mart:
     def users(self) -> DataFrame:
         return self._keep(tables.user_metrics(self.events), "users")
 
+    @cached_property
+    def cuts(self) -> dict[str, float | None]:
+        """Where users are cut into segments."""
+        return segments.segment_cuts(self.users)
+
     @cached_property
     def sessions(self) -> DataFrame:
         return self._keep(tables.session_metrics(self.events), "sessions")
@@ -103,12 +108,23 @@ def _versions(spark: SparkSession, sf_dir: str, source: str) -> tuple:
     return tuple(found.first())
 
 
+_listed: dict[tuple, tuple] = {}
+
+
+def refresh() -> None:
+    """Look at the given files again at the next use: changed ones get a new mart."""
+    _listed.clear()
+
+
 def mart(spark: SparkSession, sf_dir: str, source: str = "orders") -> Mart:
-    """The mart of this application for a folder and source, as long as the given files stay as they
-    are; changed files get a new one."""
+    """The mart of this application for a folder and source. The given files are listed once, and
+    again after `refresh()`."""
     tune(spark)
     folder = str(sf_dir).rstrip("/")
-    key = (spark.sparkContext.applicationId, folder, source, *_versions(spark, folder, source))
+    place = (spark.sparkContext.applicationId, folder, source)
+    if place not in _listed:
+        _listed[place] = _versions(spark, folder, source)
+    key = (*place, *_listed[place])
     if key not in _marts:
         _marts[key] = Mart(spark, folder, source)
     return _marts[key]

@@ -7,6 +7,8 @@ final window runs inside each slice.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,28 +47,68 @@ def running_totals(
     )
 
 
+#: Buckets of a counting pass.
+BUCKETS = 1 << 16
+
+
+def exact_quantiles(df: DataFrame, shares: dict[str, float], buckets: int = BUCKETS) -> dict[str, float | None]:
+    """The linearly interpolated quantile of each numeric column, all columns together; nulls and NaN
+    are not counted, and a column without any other value gives None.
+
+    Radix selection without a sort: a pass counts the values of every interval that still holds a
+    wanted rank, in `buckets` equal parts, and the part with the rank is the next interval, narrowed
+    to its least and greatest value. Parts follow the order of the values, so the result is exact.
+    Nothing but counts is shuffled, a few hundred thousand at most, and one row per wanted rank
+    reaches the driver: two per column, usually done after two passes."""
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in shares}
+    frame = df.select(*[v.alias(f"v{i}") for i, v in enumerate(value.values())])
+    first = frame.agg(*[f(f"v{i}") for i in range(len(shares)) for f in (F.count, F.min, F.max)]).first()
+    # (column, rank): least and greatest value of the interval, and how many values lie below it
+    open_, found = {}, {}
+    for i, share in enumerate(shares.values()):
+        n, low, high = first[3 * i : 3 * i + 3]
+        if n:
+            position = math.floor((n - 1) * share)
+            for rank in {position, min(position + 1, n - 1)}:
+                open_[i, rank] = (low, high, 0)
+    while open_:
+        for target in [t for t, (low, high, _) in open_.items() if low == high]:
+            found[target] = open_.pop(target)[0]
+        if not open_:
+            break
+        numbered = list(enumerate(open_.items()))
+        hits = []
+        for k, ((i, _), (low, high, _)) in numbered:
+            v = F.col(f"v{i}")
+            if math.isinf(low) or math.isinf(high):  # infinite values are parts of their own
+                part = F.when(v == float("-inf"), 0).when(v == float("inf"), 2).otherwise(1)
+            else:  # halves, so that the span cannot overflow
+                part = F.least(F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * buckets), F.lit(buckets - 1))
+            hits.append(F.when(v.between(low, high), F.struct(F.lit(k).alias("k"), part.cast("long").alias("part"), v.alias("v"))))
+        tall = frame.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*")
+        counts = tall.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        ranks = F.create_map(*[F.lit(x) for k, ((_, rank), (_, _, below)) in numbered for x in (k, rank - below)])
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("part"))
+        picked = counts.withColumn("upto", upto).withColumn("rank", ranks[F.col("k")])
+        picked = picked.filter((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        for row in picked.collect():
+            target, (_, _, below) = numbered[row["k"]][1]
+            open_[target] = (row["low"], row["high"], below + row["upto"] - row["n"])
+    out = {}
+    for i, (column, share) in enumerate(shares.items()):
+        if not first[3 * i]:
+            out[column] = None
+            continue
+        position = (first[3 * i] - 1) * share
+        low = math.floor(position)
+        below, above = found[i, low], found[i, min(low + 1, first[3 * i] - 1)]
+        out[column] = below if below == above else below + (above - below) * (position - low)
+    return out
+
+
 def exact_quantile(df: DataFrame, column: str, share: float, name: str) -> DataFrame:
     """One row with the linearly interpolated quantile of a column, nulls ignored."""
-    counts = (
-        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running_totals(counts, column, ["n"])
-    position = (F.col("n_total") - 1) * F.lit(share)
-    low = F.floor(position)
-    high = F.least(low + 1, F.col("n_total") - 1)
-    first = F.col("n_upto") - F.col("n")
-
-    def value_at(index):
-        return F.max(F.when((first <= index) & (index < F.col("n_upto")), F.col(column)))
-
-    picked = ranked.agg(
-        value_at(low).alias("below"),
-        value_at(high).alias("above"),
-        F.max(position - low).alias("part"),
-    )
-    return picked.select(
-        (F.col("below") + (F.col("above") - F.col("below")) * F.col("part")).alias(name)
-    )
+    return df.sparkSession.createDataFrame([(exact_quantiles(df, {column: share})[column],)], f"{name} double")
 
 
 def smallest_share(

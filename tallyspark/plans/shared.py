@@ -34,6 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyspark-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Remove every table this application wrote to the shared folder. Frames read from them, and the
+    marts of the application, can't be used afterwards."""
+    folder = f"{shared_folder(spark)}/tallyspark-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_by(df: DataFrame, column: str, path: str) -> None:
     """Write a Parquet dataset partitioned by a column, replacing what is there.
 

@@ -149,7 +149,7 @@ def _(m):
 
 @query("data_quality_report")
 def _(m):
-    return clean.data_quality_report(_dirty(m), clean.clean_events(_dirty(m)))
+    return clean.data_quality_report(_dirty(m))
 
 
 # --- tables ----------------------------------------------------------------------------------
@@ -606,7 +606,7 @@ def _(m):
 
 
 def _segmented(m: Mart) -> DataFrame:
-    return segments.assign_segments(m.users)
+    return segments.assign_segments(m.users, m.cuts)
 
 
 @query("assign_segments")

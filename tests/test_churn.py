@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import churn, models
+from tallyspark.operators import churn, models, segments
 from tallyspark.plans.mart import mart
-from tallyspark.plans.ordered import exact_quantile, running_totals
+from tallyspark.plans.ordered import exact_quantile, exact_quantiles, running_totals
 
 from conftest import SMALL
 
@@ -189,3 +189,25 @@ def test_agreement_sees_differences(spark):
     one = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.5)], "user_id long, score double")
     two = spark.createDataFrame([(1, 0.5), (2, 0.6), (4, 0.5)], "user_id long, score double")
     assert {tuple(r) for r in models.score_agreement(one, two).collect()} == {(1, True), (2, False), (3, False), (4, False)}
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 1 << 16])
+def test_exact_quantiles_of_several_columns(spark, buckets):
+    rng = random.Random(buckets)
+    rows = [(rng.choice([None, rng.gauss(0, 1e9), 5.0, -1e308, 1e308]), float(i % 3), rng.randint(-9, 9), float("nan"), float(i)) for i in range(400)]
+    rows += [(0.1 + 1e-15 * i, 1.0, 3, None, float("inf")) for i in range(50)]
+    frame = spark.createDataFrame(rows, "a double, b double, c int, d double, e double").repartition(5)
+    shares = {"a": 0.75, "b": 0.5, "c": 0.01, "d": 0.5, "e": 0.999}
+    got = exact_quantiles(frame, shares, buckets)
+    for i, (column, share) in enumerate(shares.items()):
+        known = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        at = (len(known) - 1) * share if known else 0
+        low, high = (known[math.floor(at)], known[math.ceil(at)]) if known else (None, None)
+        assert got[column] == (low if low == high else low + (high - low) * (at - math.floor(at)))
+
+
+def test_segments_need_no_written_rows(spark, users):
+    cuts = segments.segment_cuts(users)
+    assert cuts == {c: exact_quantile(users, c, 0.75, "q").first()["q"] for c in segments.CUT_COLUMNS}
+    plan = segments.assign_segments(users, cuts)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan

@@ -98,3 +98,17 @@ def test_unreadable_prices_count_as_zero(spark):
     )
     got = [r["price"] for r in clean.coerce_price(frame).collect()]
     assert got == [0.0] * 8 + [12000000000.25]
+
+
+def test_quality_in_one_pass_equals_two(raw_of):
+    raw = raw_of(
+        [
+            (T0, "view", 1, 1, None, 1.0, None, None), (T0, "view", 1, 1, "no_session", 2.0), (T0, "view", 1, 1, "s", 1.0, None),
+            ("not a time", "view", 1, 2, "s"), (None, None, None, None, None), (T0, "click", 1, 7, "s"), (T0, None, 1, 7, "s"),
+            *[(T0, "cart", 5, 5, "s")] * 4,
+        ]
+    )
+    both = clean.data_quality_report(raw).collect(), clean.data_quality_report(raw, clean.clean_events(raw)).collect()
+    assert both[0] == both[1] and {r["metric"]: r["value"] for r in both[0]}["clean_rows"] == 3
+    empty = raw.limit(0)
+    assert clean.data_quality_report(empty).collect() == clean.data_quality_report(empty, clean.clean_events(empty)).collect()

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import churn, clean, metrics, segments, tables, warehouse
+from tallyspark.plans import shared
 
 A, B, C = ("2024-01-01 10:00:00", "2024-01-01 10:05:00", "2024-01-02 09:00:00")
 
@@ -125,3 +126,25 @@ def test_large_money_fits_everywhere(raw_of):
     gone = users.withColumn("is_churned", F.lit(1))
     assert churn.revenue_at_risk(gone).first()["revenue_at_risk"] == 3.6e10 + 6
     assert churn.churn_overview(users.withColumn("is_churned", F.lit(0))).first()["avg_active_clv"] > 1e10
+
+
+def test_sessions_are_hash_aggregated(spark, events_of):
+    rows = [
+        ("0001-01-01 00:00:00", "view", 1, -(2**63), "a"), ("9999-12-31 23:59:59", "view", 1, 2**63 - 1, "a"),
+        ("2024-01-01 00:00:00", "view", 1, 9, "b"), ("2024-01-01 00:00:00", "cart", 2, 7, "b"), ("2023-01-01 00:00:00", "cart", 2, 2**63 - 1, "b"),
+        ("2024-01-01 00:00:00.000002", "view", 1, 1, "c"), ("2024-01-01 00:00:00.000001", "view", 3, 5, "c"), ("1969-01-01 00:00:00", "view", 3, -4, "d"),
+        ("1970-01-01 00:00:00", "view", 3, -5, "d"),
+    ]
+    sessions = tables.session_metrics(events_of(rows))
+    assert {r["user_session"]: r["user_id"] for r in sessions.select("user_session", "user_id").collect()} == {"a": -(2**63), "b": 2**63 - 1, "c": 5, "d": -4}
+    events = shared.written(events_of(rows), "events")
+    plan = tables.session_metrics(events)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_removing_what_was_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    spark.range(3).write.parquet(shared.new_path(spark, "rows"))
+    assert list(tmp_path.iterdir()) != []
+    shared.remove_written(spark)
+    assert list(tmp_path.iterdir()) == []
