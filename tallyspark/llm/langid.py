@@ -172,7 +172,8 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     """The best labels of each text's words: the sum of their scores less `penalty` for each switch.
     Ties stay with the present language, then go to the first one."""
     n_words, k = scores.shape
-    labels = np.zeros(n_words, np.int8)
+    kind = np.int8 if k <= 128 else np.int32  # holds every language's number
+    labels = np.zeros(n_words, kind)
     starts, lengths = offsets[:-1], np.diff(offsets)
     full = np.flatnonzero(lengths)
     if not len(full):
@@ -182,14 +183,14 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     single = np.add.reduceat(scores.astype(np.float64), at)
     bound = np.add.reduceat(scores.max(1).astype(np.float64), at) - penalty
     sure = single.max(1) >= bound
-    labels[:] = np.repeat(single.argmax(1), lengths[full]).astype(np.int8)
+    labels[:] = np.repeat(single.argmax(1), lengths[full]).astype(kind)
     todo = full[~sure]
     if not len(todo):
         return labels
     todo = todo[np.argsort(-lengths[todo], kind="stable")]
     begin, length = starts[todo], lengths[todo]
     state = np.zeros((len(todo), k), np.float64)
-    switched, source = np.zeros((n_words, k), bool), np.zeros(n_words, np.int8)
+    switched, source = np.zeros((n_words, k), bool), np.zeros(n_words, kind)
     lanes = np.arange(len(todo))
     steps = int(length[min(7, len(todo) - 1)]) if len(todo) >= 8 else 0  # fewer texts go one by one
     active = [int(x) for x in np.searchsorted(-length, -np.arange(steps), "left")]

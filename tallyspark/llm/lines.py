@@ -6,7 +6,9 @@ segments (with its length and the segment's number), and a line that may be up t
 probes the substrings that can match: the multi-match-aware positions of the published method.
 
 Lines that meet under a key are compared in blocks of bounded size, without a row for each pair; a
-block gives the links that hold its components together. The check strips what two lines share at
+block gives the links that hold its components together. Within a component the lines are then taken
+by their first place: one goes if it is itself near an earlier line that stays, so no chain of edits
+takes a line away for one that is far from it. The check strips what two lines share at
 both ends, then runs a bit-parallel edit distance over the band of 2 * edits + 1 diagonals.
 """
 
@@ -19,11 +21,10 @@ from tallyspark.llm.common import marked, possibly, split_by_marks, whole_text
 from tallyspark.llm.graph import components
 from tallyspark.plans.shared import written
 
-#: Lines within this many edits are the same line.
-EDITS = 2
-#: Lines of fewer code points are the same line only if equal: below, the edits can replace a whole
-#: segment each and a segment can be empty. This is the method's own bound, not a choice.
-EDIT_CHARS = 2 * EDITS + 1
+#: Lines within so many edits are the same line, one for every `UNIT` code points of the shorter one:
+#: 0 under 20 code points (equal lines only), 1 from 20, 2 from 40 on. Two edits make anything of a
+#: short line; what one edit in twenty code points loses is in the README.
+EDITS, UNIT = 2, 20
 #: Lines of fewer code points (without outer white space) are never dropped: only empty ones.
 MIN_CHARS = 1
 #: Lines compared together: a key with more is cut into blocks, and each pair of blocks is a group.
@@ -57,23 +58,34 @@ def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def keys(lines: DataFrame, edits: int) -> DataFrame:
+def _bands(edits: int, unit: int) -> list[tuple[int, int, int | None]]:
+    """(edits, least length, greatest length) of lines that are compared within so many edits."""
+    least = [max(e * unit, 2 * e + 1) for e in range(1, edits + 1)]
+    return [(e, n, None if e == edits else least[e] - 1) for e, n in enumerate(least, 1)]
+
+
+def keys(lines: DataFrame, edits: int, unit: int) -> DataFrame:
     """(key, line64, indexed) of `lines` (line, line64, n): a line's own segments, and the substrings
-    that can match a segment of a line of its length or up to `edits` less. What equals an own
-    segment's place is not probed again. Lines have more than 2 * `edits` code points: then no
-    segment is empty, and every shifted substring lies inside its line."""
-    k = edits + 1
-    rows = []
-    for shorter in range(edits + 1):
-        target = F.col("n") - shorter
-        for i, (start, length) in enumerate(_segments(target, edits), 1):
-            low = max(-(i - 1), shorter - (k - i))
-            high = min(i - 1, shorter + (k - i))
-            for shift in range(low, high + 1):
-                own = shorter == 0 and shift == 0
-                part = F.substring(F.col("line"), start + shift, length)
-                rows.append(F.struct(F.xxhash64(target, F.lit(i), part).alias("key"), F.lit(own).alias("indexed")))
-    return lines.select("line64", F.inline(F.array(*rows))).select("key", "line64", "indexed")
+    that can match a segment of a line of its length or as much shorter as that line's edits allow.
+    What equals an own segment's place is not probed again. A line has more than twice as many code
+    points as edits: then no segment is empty, and every shifted substring lies inside its line."""
+    found = []
+    for e, least, most in _bands(edits, unit):
+        k, rows = e + 1, []
+        for shorter in range(e + 1):
+            target = F.col("n") - shorter
+            allowed = target >= least if most is None else target.between(least, most)
+            for i, (start, length) in enumerate(_segments(target, e), 1):
+                low = max(-(i - 1), shorter - (k - i))
+                high = min(i - 1, shorter + (k - i))
+                for shift in range(low, high + 1):
+                    own = shorter == 0 and shift == 0
+                    part = F.substring(F.col("line"), start + shift, length)
+                    row = F.struct(F.xxhash64(target, F.lit(i), part).alias("key"), F.lit(own).alias("indexed"))
+                    rows.append(F.when(allowed, row) if shorter or most is not None else row)
+        concerned = F.col("n") >= least if most is None else F.col("n").between(least, most + e)
+        found.append(F.when(concerned, F.array_compact(F.array(*rows))).otherwise(F.array().cast("array<struct<key:bigint,indexed:boolean>>")))
+    return lines.select("line64", F.inline(F.concat(*found))).select("key", "line64", "indexed")
 
 
 #: Steps of the search for a shared end, in code points: lines of up to 2**25 of them.
@@ -180,19 +192,28 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(_bound(ends, compare))
 
 
-def _group_links(members: Column, edits: int) -> Column:
+def near(a: Column, b: Column, edits: int, unit: int) -> Column:
+    """Whether two different lines are as near as the shorter one's length allows."""
+    n = F.least(F.length(a), F.length(b))
+    verdict = None
+    for e, least, _ in reversed(_bands(edits, unit)):
+        verdict = F.when(n >= least, within(a, b, e)) if verdict is None else verdict.when(n >= least, within(a, b, e))
+    return F.lit(False) if verdict is None else verdict.otherwise(False)
+
+
+def _group_links(members: Column, edits: int, unit: int) -> Column:
     """Links (id pairs) that keep the components of one group of lines together. Members of two
     blocks are compared across the blocks only, and one of a pair must be indexed under the key."""
 
     def add(state: Column, x: Column) -> Column:
-        near = F.filter(
+        met = F.filter(
             state["done"],
             lambda d: (d["id"] != x["id"])
             & ((x["lo"] == x["hi"]) | (d["b"] != x["b"]))
             & (d["indexed"] | x["indexed"])
-            & within(d["line"], x["line"], edits),
+            & near(d["line"], x["line"], edits, unit),
         )
-        roots = F.array_distinct(F.transform(near, lambda d: d["root"]))
+        roots = F.array_distinct(F.transform(met, lambda d: d["root"]))
         return _bound(roots, lambda found: joined(state, x, found))
 
     def joined(state: Column, x: Column, found: Column) -> Column:
@@ -215,14 +236,14 @@ def _group_links(members: Column, edits: int) -> Column:
     return F.aggregate(members, start, add, lambda x: x["links"])
 
 
-def edit_links(lines: DataFrame, edits: int) -> DataFrame:
-    """Links (u, v) between different lines at most `edits` edits apart, enough to connect all such
-    lines. `lines` has id (binary), line, and no repeats; lines have more than 2 * `edits` code points."""
+def edit_links(lines: DataFrame, edits: int, unit: int) -> DataFrame:
+    """Links (u, v) between near lines, enough to connect all such lines. `lines` has id (binary),
+    line, and no repeats."""
     texts = lines.select("id", "line", F.xxhash64("id").alias("line64"), F.length("line").alias("n"))
     by_key = Window.partitionBy("key")
     # Only keys with an indexed line and another one go on. Nothing but ids is shuffled here.
     met = written(
-        keys(texts, edits)
+        keys(texts, edits, unit)
         .withColumn("_all", F.count(F.lit(1)).over(by_key))
         .withColumn("_indexed", F.count_if("indexed").over(by_key))
         .filter("_all > 1 AND _indexed > 0")
@@ -244,38 +265,93 @@ def edit_links(lines: DataFrame, edits: int) -> DataFrame:
         .agg(F.collect_list(F.struct("id", "line", "b", "indexed", "lo", "hi")).alias("_members"))
         .filter(F.size("_members") > 1)
     )
-    return groups.select(F.explode(_group_links(F.col("_members"), edits)).alias("l")).select("l.u", "l.v").distinct()
+    return groups.select(F.explode(_group_links(F.col("_members"), edits, unit)).alias("l")).select("l.u", "l.v").distinct()
+
 
+def line_classes(lines: DataFrame, edits: int, unit: int) -> DataFrame:
+    """(id, class) of the lines (id, line) that are linked to another one; lines without a link have
+    no row."""
+    found = components(edit_links(lines, edits, unit)).select(F.col("u").alias("id"), F.col("v").alias("class"))
+    return found.unionByName(found.select(F.col("class").alias("id"), "class").distinct())
 
-def line_classes(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHARS, min_chars: int = MIN_CHARS,
-                 id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, root) of each line that is linked to another one and is not the smallest id of its
-    class; `root` is that smallest id. Equal lines share an id."""
-    found = occurrences(docs, id_column, text_column).filter(F.length("line") >= max(min_chars, edit_chars, 2 * edits + 1))
-    lines = written(found.groupBy("line").agg(F.lit(1).alias("_one")).select(_line_id(F.col("line")).alias("id"), "line"), "lines")
-    return components(edit_links(lines, edits)).select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+def _leaders(members: Column, edits: int, unit: int) -> Column:
+    """Sorted lines (id, line), taken one by one: `kept` lines, and `gone` ones (id, stays)."""
+    line, gone = "id:binary,line:string", "id:binary,stays:binary"
+
+    def take(state: Column, x: Column) -> Column:
+        close = F.filter(state["kept"], lambda k: near(k["line"], x["line"], edits, unit))
+        return _bound(
+            close,
+            lambda c: F.when(
+                F.size(c) == 0, state.withField("kept", F.concat(state["kept"], F.array(F.struct(x["id"].alias("id"), x["line"].alias("line")))))
+            ).otherwise(
+                state.withField("gone", F.concat(state["gone"], F.array(F.struct(x["id"].alias("id"), c[0]["id"].alias("stays")))))
+            ),
+        )
+
+    start = F.struct(F.array().cast(f"array<struct<{line}>>").alias("kept"), F.array().cast(f"array<struct<{gone}>>").alias("gone"))
+    return F.aggregate(members, start, take)
+
+
+def lines_near_a_kept_one(members: DataFrame, edits: int, unit: int) -> DataFrame:
+    """(id, stays) of the lines that go for a near one that stays. `members` has id, line, class and
+    place; lines of a class are taken by place, and one stays unless it is near an earlier one that
+    stays.
+
+    A round takes the first `BLOCK` lines of every class that is left, and then compares the class's
+    other lines with those that stay of them. Most classes end in the first round; each round is a
+    written table, and a large class is one block and otherwise a join, never a group."""
+    salted = Window.partitionBy("class", "_salt").orderBy("place")
+    first = Window.partitionBy("class").orderBy("place")
+    out, left = None, written(members.select("id", "line", "class", "place"), "line-members")
+    while left.limit(1).count():
+        # Two steps, so that no task ranks more than 256 * BLOCK lines of a class.
+        some = left.select("class", "id", "place", (F.xxhash64("id") % 256).alias("_salt")).withColumn("_r", F.row_number().over(salted))
+        ahead = some.filter(F.col("_r") <= BLOCK).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= BLOCK).select("id")
+        ahead = written(ahead, "line-ahead")
+        blocks = left.join(ahead, "id").groupBy("class").agg(
+            F.array_sort(F.collect_list(F.struct("place", "id", "line"))).alias("_m")
+        )
+        judged = written(blocks.select("class", _leaders(F.col("_m"), edits, unit).alias("l")), "line-leaders")
+        rest = left.join(ahead, "id", "left_anti").join(judged.select("class", F.col("l.kept").alias("_kept")), "class")
+        met = F.filter("_kept", lambda k: near(k["line"], F.col("line"), edits, unit))
+        rest = written(rest.select("id", "line", "class", "place", F.get(met, F.lit(0))["id"].alias("stays")), "line-rest")
+        now = judged.select(F.inline("l.gone")).unionByName(rest.filter("stays IS NOT NULL").select("id", "stays"))
+        out = now if out is None else out.unionByName(now)
+        left = rest.filter("stays IS NULL").drop("stays")
+    return members.select("id", F.col("id").alias("stays")).limit(0) if out is None else out
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHARS, min_chars: int = MIN_CHARS,
+def repeated_lines(docs: DataFrame, edits: int = EDITS, unit: int = UNIT, min_chars: int = MIN_CHARS,
                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, no (line number from 0) and class (the id of its class) of each line to drop: every
-    line of a class but the first, by doc_id, then number. Null ids come last."""
-    classes = line_classes(docs, edits, edit_chars, min_chars, id_column, text_column)
+    """doc_id, no (line number from 0) and stays (the id of the line that stays for it) of each line
+    to drop: all but the first of equal lines, and all of a line that is near an earlier one that
+    stays, by doc_id, then number. Null ids come last."""
     where = written(
-        occurrences(docs, id_column, text_column).filter(F.length("line") >= max(1, min_chars))
-        .select("doc_id", "no", _line_id(F.col("line")).alias("id")),
+        occurrences(docs, id_column, text_column).filter(F.length("line") >= max(1, min_chars)).select(
+            "doc_id", "no", _line_id(F.col("line")).alias("id")
+        ),
         "line-places",
     )
-    labelled = where.join(classes, "id", "left").select("doc_id", "no", F.coalesce("root", "id").alias("class"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("no").alias("c"))
+    firsts = written(where.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("_n")), "line-firsts")
+    least = min([n for _, n, _ in _bands(edits, unit)], default=None)
+    near_ones = firsts.select("id", F.col("id").alias("stays")).limit(0)
+    if least is not None:
+        long_ = occurrences(docs, id_column, text_column).filter(F.length("line") >= max(least, min_chars))
+        lines = written(long_.groupBy("line").agg(F.lit(1).alias("_one")).select(_line_id(F.col("line")).alias("id"), "line"), "lines")
+        classes = written(line_classes(lines, edits, unit), "line-classes")
+        members = classes.join(lines, "id").join(firsts.select("id", "place"), "id")
+        near_ones = lines_near_a_kept_one(members, edits, unit)
     # Written, so that the join below is between two plain shuffles: there adaptive execution can
     # split the partition of a line that a large share of all lines is equal to.
-    firsts = written(
-        labelled.groupBy("class").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        .select("class", "_first"),
-        "line-firsts",
+    verdicts = written(
+        firsts.join(near_ones, "id", "left").filter("_n > 1 OR stays IS NOT NULL").select("id", F.col("place").alias("_first"), "stays"),
+        "line-verdicts",
     )
-    return labelled.join(firsts, "class").filter(place != F.col("_first")).select("doc_id", "no", "class")
+    judged = where.join(verdicts, "id").filter(F.col("stays").isNotNull() | (place != F.col("_first")))
+    return judged.select("doc_id", "no", F.coalesce("stays", "id").alias("stays"))
 
 
 def dropped_lines(docs: DataFrame, **settings) -> DataFrame:
@@ -287,9 +363,9 @@ def line_dedup(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` with repeated lines taken out of `text`, and n_chars brought up to date if
     there is such a column.
 
-    Lines are compared without outer white space. A class is what links of at most `edits` edits
-    connect; its first line stays, by doc_id, then line number. Lines under `min_chars` always
-    stay, lines under `edit_chars` are only compared for equality. A null text stays null; a text
+    Lines are compared without outer white space, by doc_id, then line number. A line goes if it
+    equals an earlier one, or is near an earlier one that stays: at most one edit for every `unit`
+    code points of the shorter line, and `edits` in all. Lines under `min_chars` always stay. A null text stays null; a text
     may become empty, its row stays. Rows that repeat an id are one document: a line number that is
     dropped is dropped in each of them. All columns are kept."""
     lost = written(dropped_lines(docs, **settings), "lines-lost")

@@ -268,3 +268,14 @@ def test_written_out_addresses_without_dot_word(at):
     # Unrelated text has no say.
     more = text + ", see the dot"
     assert pii.loose_spans(more, pii.base_spans(more)) == pii.loose_spans(text, pii.base_spans(text))
+
+
+@pytest.mark.parametrize("k", [128, 129, 300])
+def test_viterbi_with_many_languages(k):
+    rng = np.random.default_rng(k)
+    scores = rng.normal(-9, 0.1, (60, k)).astype(np.float32)
+    scores[:20, k - 1] = 0
+    scores[20:40, 3] = 0
+    scores[40:, k - 2] = 0
+    labels = langid.viterbi(scores, np.array([0, 20, 60]), 2.0)
+    assert labels.tolist() == [k - 1] * 20 + [3] * 20 + [k - 2] * 20

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -30,30 +31,28 @@ def mutate(text, n):
     return "".join(chars)
 
 
-def brute(rows, edits, edit_chars, min_chars):
-    """The dropped line numbers of each document."""
+def brute(rows, edits=2, unit=20, min_chars=1):
+    """The dropped line numbers of each document: lines in order, each against all that stay."""
     places = sorted(
         ((d is None, d, n, x.strip(" \t\n\x0b\x0c\r")) for d, t, *_ in rows for n, x in enumerate((t or "").split("\n"))),
         key=lambda p: (p[0], p[1] or 0, p[2]),
     )
-    distinct = sorted({x for *_, x in places if len(x) >= max(edit_chars, min_chars, 2 * edits + 1)})
-    root = {x: x for x in distinct}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(distinct):
-        for b in distinct[:i]:
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
-                root[find(a)] = find(b)
-    seen, dropped = {}, defaultdict(set)
+    kept, gone, first, dropped = [], set(), {}, defaultdict(set)
     for _, d, n, x in places:
-        if len(x) >= max(1, min_chars):
-            own = find(x) if x in root else x
-            if seen.setdefault(own, (d, n)) != (d, n):
-                dropped[d].add(n)
+        if len(x) < max(1, min_chars):
+            continue
+        if x not in first:
+            first[x] = (d, n)
+            for k in kept:
+                short = min(len(k), len(x))
+                most = max((e for e in range(1, edits + 1) if short >= max(e * unit, 2 * e + 1)), default=0)
+                if most and abs(len(k) - len(x)) <= most and distance(k, x) <= most:
+                    gone.add(x)
+                    break
+            else:
+                kept.append(x)
+        if x in gone or first[x] != (d, n):
+            dropped[d].add(n)
     return {d: sorted(n) for d, n in dropped.items()}
 
 
@@ -77,7 +76,7 @@ def test_lines_match_brute_force(docs_of, edits):
     for i in range(60):
         own = [random.choice(["", " ", "\t"]) + mutate(random.choice(base), random.choice([0, 0, 1, 2])) for _ in range(random.randint(1, 6))]
         rows.append((i, "\n".join(own)))
-    settings = {"edits": edits, "edit_chars": 8, "min_chars": 4}
+    settings = {"edits": edits, "unit": 8, "min_chars": 4}
     want = brute(rows, **settings)
     got = {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows), **settings).collect()}
     assert got == want
@@ -87,27 +86,53 @@ def test_lines_match_brute_force(docs_of, edits):
         assert texts[d] == (kept, len(kept))
 
 
-def test_large_groups_are_compared_in_blocks(docs_of):
+@pytest.mark.parametrize("digits", [3, 6])
+def test_large_groups_are_compared_in_blocks(docs_of, digits):
     random.seed(20)
     template = "a template line that many documents share, with number "
-    rows = [(i, template + f"{random.randrange(10**6):06d}") for i in range(400)]
-    got = {r.doc_id for r in lines.dropped_lines(docs_of(rows)).collect()}
-    assert got == set(brute(rows, lines.EDITS, lines.EDIT_CHARS, lines.MIN_CHARS))
+    rows = [(i, template + f"{random.randrange(10**digits):06d}") for i in range(400)]
+    got = {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_classes_of_many_rounds(docs_of, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    random.seed(21)
+    rows = [(i, "some line of twenty and more " + "".join(random.choices("ab", k=7))) for i in range(45)]
+    want = brute(rows)
+    assert {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == want
+    assert 2 * 5 < len(rows) - len(want)
+
+
+def test_different_numbers_stay(docs_of):
+    rows = [(i, str(10_000 + 7 * i)) for i in range(3000)]
+    assert lines.dropped_lines(docs_of(rows)).collect() == []
+
+
+def test_every_dropped_line_is_near_the_one_that_stays(docs_of):
+    random.seed(22)
+    chain = ["the first line of a long chain of changes, which go on and on"]
+    for _ in range(60):
+        chain.append(mutate(chain[-1], 1))
+    random.shuffle(chain)
+    rows = list(enumerate(chain))
+    found = lines.repeated_lines(docs_of(rows)).collect()
+    text = {hashlib.sha256(t.encode()).digest()[:16]: t for t in chain}
+    assert found and all(distance(chain[r.doc_id], text[bytes(r.stays)]) <= 2 for r in found)
+    assert {r.doc_id for r in found} == set(brute(rows))
 
 
 def test_odd_rows(odd, none):
     report = lines.line_report(odd).collect()
     assert len(report) == len(ODD)
-    want = brute(ODD, lines.EDITS, lines.EDIT_CHARS, lines.MIN_CHARS)
-    assert {r.doc_id: r.dropped for r in report if r.dropped} == want
+    assert {r.doc_id: r.dropped for r in report if r.dropped} == brute(ODD)
     assert sorted(r.text or "" for r in lines.line_dedup(odd).collect())[-1] == "é́ 日本語 \U0001f600 <|endoftext|>"
     assert lines.line_report(none).collect() == [] and lines.line_dedup(none).columns == none.columns
 
 
-def test_short_lines_are_compared_too(docs_of):
-    texts = ["Read more", "Read mere", "See also: notes", "See also: note", "abcde", "abcdX", "1234", "1235", "ok", "ok", "", "", "Read more"]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    # Without the module's constants: within two edits from five code points on, equal below.
-    want = brute(rows, 2, 0, 0)
-    assert want == {1: [0], 3: [0], 5: [0], 9: [0], 12: [0]}
-    assert {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == want
+def test_the_distance_follows_the_length(docs_of):
+    short, middle, long_ = "Read more of it", "See also: the notes below", "A line of more than forty code points, as is usual here"
+    texts = [short, short[:-1], middle, middle[:-1], middle[:-2], long_, long_[:-2], long_[:-3] + "x", "1234", "1235", "ok", "ok", "", "", short]
+    rows = list(enumerate(texts))
+    want = {3: [0], 6: [0], 11: [0], 14: [0]}
+    assert brute(rows) == want and {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == want

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import SMALL
-from tallyspark.llm import lines, mixing
+from tallyspark.llm import mixing
 from tallyspark.llm.common import documents
 from tallyspark.plans.shared import written
 from test_simhash import components, plain_fingerprint
@@ -55,24 +55,18 @@ def test_line_stage(steps):
     docs, made = steps["line_dedup"]
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     places = [(d, n, x.strip(" \t\n\x0b\x0c\r")) for d, t in rows for n, x in enumerate(t.split("\n"))]
-    long_ = sorted({x for *_, x in places if len(x) >= lines.EDIT_CHARS}, key=len)
-    root = {x: x for x in long_}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(long_):
-        for b in long_[i + 1 :]:
-            if len(b) - len(a) > lines.EDITS:
-                break
-            if near(a, b, lines.EDITS):
-                root[find(a)] = find(b)
-    seen, kept = {}, defaultdict(list)
+    stays, gone, first, kept = defaultdict(list), set(), {}, defaultdict(list)
     for d, n, x in places:
-        own = find(x) if x in root else x
-        if len(x) < lines.MIN_CHARS or seen.setdefault(own, (d, n)) == (d, n):
+        if x and x not in first:
+            first[x] = (d, n)
+            for y in (y for length in range(len(x) - 2, len(x) + 3) for y in stays[length]):
+                edits = min(2, min(len(x), len(y)) // 20)
+                if edits and near(x, y, edits):
+                    gone.add(x)
+                    break
+            else:
+                stays[len(x)].append(x)
+        if not x or (first[x] == (d, n) and x not in gone):
             kept[d].append(dict(rows)[d].split("\n")[n])
     got = {r.doc_id: (r.text, r.n_chars) for r in made.collect()}
     assert got == {d: ("\n".join(kept[d]), len("\n".join(kept[d]))) for d, _ in rows}
