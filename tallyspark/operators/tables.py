@@ -141,13 +141,29 @@ def user_facets(events: DataFrame) -> DataFrame:
     )
 
 
-def user_metrics(events: DataFrame) -> DataFrame:
-    """One row per user: counts, revenue, recency against the latest event of all, funnel flags,
-    churn label, engagement ratios and preferences."""
-    latest = events.agg(F.max("event_time")).scalar()
+def _recency(latest: Column) -> dict[str, Column]:
+    """What depends on the latest event of all: days since a user's last purchase and last event,
+    and the churn label."""
+    since_seen = days_between(F.col("last_seen"), latest)
+    return {
+        "days_since_last_purchase": days_between(F.col("last_purchase_time"), latest),
+        "days_since_last_seen": since_seen,
+        "is_churned": flag(since_seen > CHURN_DAYS),
+    }
+
+
+def with_recency(users: DataFrame, latest: Column) -> DataFrame:
+    """The user table as of another latest event."""
+    return users.withColumn("_latest", latest).withColumns(_recency(F.col("_latest"))).drop("_latest")
+
+
+def user_metrics(events: DataFrame, latest: Column | None = None) -> DataFrame:
+    """One row per user: counts, revenue, recency against the latest event of all (of `events` unless
+    given), funnel flags, churn label, engagement ratios and preferences."""
+    latest = events.agg(F.max("event_time")).scalar() if latest is None else latest
     orders = F.col("n_purchase")
     sessions = F.greatest("n_sessions", F.lit(1))
-    since_seen = days_between(F.col("last_seen"), F.col("_latest"))
+    recency = _recency(F.col("_latest"))
     return (
         user_facets(events)
         .withColumn("_latest", latest)
@@ -172,17 +188,15 @@ def user_metrics(events: DataFrame) -> DataFrame:
                 "lifespan_days"
             ),
             "last_purchase_time",
-            days_between(F.col("last_purchase_time"), F.col("_latest")).alias(
-                "days_since_last_purchase"
-            ),
-            since_seen.alias("days_since_last_seen"),
+            recency["days_since_last_purchase"].alias("days_since_last_purchase"),
+            recency["days_since_last_seen"].alias("days_since_last_seen"),
             (orders / sessions).alias("purchase_frequency"),
             flag(orders >= REPEAT_ORDERS).alias("is_repeat_purchaser"),
             flag(F.col("n_views") > 0).alias("reached_view"),
             flag(F.col("n_cart") > 0).alias("reached_cart"),
             flag(orders >= 1).alias("reached_purchase"),
             flag(orders >= REPEAT_ORDERS).alias("reached_repeat"),
-            flag(since_seen > CHURN_DAYS).alias("is_churned"),
+            recency["is_churned"].alias("is_churned"),
             per("n_cart", F.col("n_views")).alias("view_to_cart_rate"),
             per("n_purchase", F.col("n_cart")).alias("cart_to_purchase_rate"),
             per("total_events", F.col("n_sessions")).alias("avg_session_events"),

@@ -170,6 +170,29 @@ KEYS = "event_time, event_type, product_id, user_id, user_session"
 RAW = "event_time, event_type, product_id, category_id, category_code, brand, price, user_id, user_session"
 
 put("read_events_csv", ORDER_RAW, f"SELECT {RAW} FROM order_raw")
+put(
+    "read_events_csv_intact", ORDER_RAW,
+    f"""SELECT {RAW} FROM order_raw
+    WHERE product_id % 23 <> 0 AND product_id % 29 <> 0 AND user_id % 31 <> 0""",
+)
+put(
+    "malformed_lines", ORDER_RAW,
+    """, fields AS (
+      SELECT product_id, user_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') || ',' || event_type || ','
+             || product_id || ',' || coalesce(CAST(category_id AS VARCHAR), '') || ','
+             || coalesce(category_code, '') || ',' || coalesce(brand, '') || ','
+             || CASE WHEN user_id % 31 = 0 THEN 'n/a' ELSE CAST(price AS VARCHAR) END AS front,
+             ',' || user_id || ',' || coalesce(user_session, '') AS back
+      FROM order_raw),
+    lines AS (
+      SELECT CASE WHEN product_id % 23 = 0 THEN 'too few fields' WHEN product_id % 29 = 0 THEN 'too many fields'
+                  WHEN user_id % 31 = 0 THEN 'unreadable number' END AS problem,
+             CASE WHEN product_id % 23 = 0 THEN front WHEN product_id % 29 = 0 THEN front || back || ',spare'
+                  ELSE front || back END AS line
+      FROM fields)
+    SELECT problem, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines
+    WHERE problem IS NOT NULL GROUP BY problem""",
+)
 TIMED = "TRY_CAST(event_time AS TIMESTAMP) AS event_time, event_type, product_id, user_id, user_session"
 put("normalize_timestamps", DIRTY_RAW, f"SELECT {TIMED} FROM dirty_raw")
 put(
@@ -261,12 +284,25 @@ UNION ALL SELECT 'user_metrics', count(DISTINCT user_id){paid} FROM ev
 UNION ALL SELECT 'session_metrics', count(DISTINCT user_session){paid} FROM ev
 UNION ALL SELECT 'product_metrics', count(DISTINCT product_id){paid} FROM ev
 UNION ALL SELECT 'daily_activity', count(DISTINCT event_date){paid} FROM ev"""
-for name in ("write_tables_parquet", "etl_run"):
+for name in ("write_tables_parquet", "etl_run", "etl_append"):
     put(name, ORDERS, SIZES.format(fact="", paid=""))
 put(
     "star_schema_tables", ORDERS,
     SIZES.format(fact=", CAST(sum(money) AS DOUBLE) AS money", paid=f", {SPENT}"),
 )
+put("etl_append_events", ORDERS, f"SELECT {EVENT_COLUMNS} FROM ev")
+put("etl_append_users", OU, "SELECT * FROM us")
+put("etl_append_sessions", ORDERS, SESSIONS)
+put("etl_append_products", ORDERS, PRODUCT_TABLE)
+put("etl_append_days", ORDERS, DAILY)
+put(
+    "load_tables_all", ORDERS,
+    f""", said AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_type <> 'remove_from_cart') AS k,
+                {SPENT} AS revenue FROM ev)
+    SELECT 'fact_events' AS table_name, n AS n_events, revenue FROM said
+    UNION ALL SELECT 'user_metrics', n, revenue FROM said UNION ALL SELECT 'session_metrics', n, revenue FROM said
+    UNION ALL SELECT 'product_metrics', k, revenue FROM said UNION ALL SELECT 'daily_activity', n, revenue FROM said""",
+)
 put(
     "load_tables", ORDERS,
     f"""SELECT user_id, count(*) AS total_events, coalesce({SPENT}, 0.0) AS customer_lifetime_value,

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import churn, clean, models, segments, tables
-from tallyspark.plans.shared import written
+from tallyspark.plans.shared import new_path, written
 from tallyspark.session import tune
+from tallyspark.sources import append, store
 from tallyspark.sources.adapters import click_raw, order_raw
 
 ADAPTERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -60,6 +61,19 @@ class Mart:
     def sessions(self) -> DataFrame:
         return self._keep(tables.session_metrics(self.events), "sessions")
 
+    @cached_property
+    def appended(self) -> dict[str, DataFrame]:
+        """The five tables, loaded up to the last month and then given that month as a file that
+        starts three days early, so that it repeats events over the month's edge."""
+        folder = new_path(self.spark, f"{self.source}-appended")
+        last = self.events.agg(F.max("event_month")).first()[0]
+        if last is None:
+            return store.etl_run(self.raw, folder)
+        edge = F.lit(f"{last}-01").cast("timestamp")
+        store.etl_run(self.raw.filter(F.col("event_time") < edge), folder)
+        late = self.raw.filter(F.col("event_time") >= edge - F.expr("INTERVAL 3 DAYS"))
+        return append.etl_append(late, folder)
+
     @cached_property
     def prepared(self) -> churn.Prepared:
         return churn.prepare(self.users)

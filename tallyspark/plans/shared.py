@@ -42,12 +42,14 @@ def remove_written(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_by(df: DataFrame, column: str, path: str) -> None:
-    """Write a Parquet dataset partitioned by a column, replacing what is there.
+def write_by(df: DataFrame, column: str, path: str, touched_only: bool = False) -> None:
+    """Write a Parquet dataset partitioned by a column, replacing what is there, or with
+    `touched_only` just the values that the frame has.
 
     `rebalance` gives each value whole files of the advisory size: small values share a task, a
     value too large for one task is split."""
-    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+    out = df.hint("rebalance", column).write.mode("overwrite").partitionBy(column)
+    out.option("partitionOverwriteMode", "dynamic" if touched_only else "static").parquet(path)
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

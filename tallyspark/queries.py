@@ -33,7 +33,7 @@ from tallyspark.operators import (
 from tallyspark.plans.mart import Mart, mart
 from tallyspark.plans.shared import new_path
 from tallyspark.sources import store
-from tallyspark.sources.adapters import RAW_COLUMNS, dirty_raw
+from tallyspark.sources.adapters import RAW_COLUMNS, dirty_raw, order_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,25 @@ def _(m):
     return store.read_events_csv(m.spark, path)
 
 
+def _lines_csv(m: Mart) -> str:
+    """A CSV file with malformed lines; written with another separator, so that lines stay unquoted."""
+    path = new_path(m.spark, "lines-csv")
+    order_lines(m.spark, m.sf_dir).write.option("header", True).option("sep", "\x01").csv(path)
+    return path
+
+
+@query("read_events_csv_intact")
+def _(m):
+    return store.read_events_csv(m.spark, _lines_csv(m), on_malformed="drop")
+
+
+@query("malformed_lines")
+def _(m):
+    return store.malformed_lines(m.spark, _lines_csv(m)).groupBy("problem").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")
+    )
+
+
 @query("normalize_timestamps")
 def _(m):
     return _timed(m).select(*KEYS)
@@ -263,6 +282,29 @@ def _(m):
     ).select("user_id", "total_events", "customer_lifetime_value", "last_month")
 
 
+@query("load_tables_all")
+def _(m):
+    """What each of the five loaded tables says about events and money in total."""
+    folder = new_path(m.spark, "tables")
+    store.write_tables_parquet(store.star_schema(m.events), folder)
+    frames = store.load_tables(m.spark, folder)
+    paid = F.when(F.col("event_type") == "purchase", F.col("price"))
+    said = {
+        "fact_events": (F.lit(1), paid),
+        "user_metrics": (F.col("total_events"), F.col("customer_lifetime_value")),
+        "session_metrics": (F.col("n_events"), F.col("revenue")),
+        "product_metrics": (F.col("n_views") + F.col("n_cart") + F.col("n_purchase"), F.col("revenue")),
+        "daily_activity": (F.col("events"), F.col("revenue")),
+    }
+    rows = [
+        frames[name].agg(
+            F.sum(events).alias("n_events"), F.sum(money.cast("decimal(18,2)")).cast("double").alias("revenue")
+        ).select(F.lit(name).alias("table_name"), "n_events", "revenue")
+        for name, (events, money) in said.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("star_schema_tables")
 def _(m):
     location = new_path(m.spark, "star")
@@ -287,6 +329,21 @@ def _(m):
     return _sizes(store.etl_run(m.raw, new_path(m.spark, "etl")))
 
 
+@query("etl_append")
+def _(m):
+    return _sizes(m.appended)
+
+
+def _register_appended(name: str, table: str) -> None:
+    @query(name)
+    def _(m):
+        return m.appended[table]
+
+
+for _part, _table in zip(("events", "users", "sessions", "products", "days"), store.TABLES):
+    _register_appended(f"etl_append_{_part}", _table)
+
+
 @query("read_sql_params")
 def _(m):
     m.events.createOrReplaceTempView("tally_events")

@@ -100,6 +100,22 @@ def click_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`order_raw` as lines of a CSV file, some with two fields missing, a spare one, or a price that is
+    no number. The only column has the file's header for a name."""
+    product, user = F.col("product_id"), F.col("user_id")
+    price = F.when(user % 31 == 0, "n/a").otherwise(F.col("price").cast("string"))
+    fields = [
+        F.coalesce((price if c == "price" else F.col(c)).cast("string"), F.lit("")) for c in RAW_COLUMNS
+    ]
+    line = (
+        F.when(product % 23 == 0, F.concat_ws(",", *fields[:-2]))
+        .when(product % 29 == 0, F.concat_ws(",", *fields, F.lit("spare")))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    return order_raw(spark, sf_dir).select(line.alias(",".join(RAW_COLUMNS)))
+
+
 def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`order_raw` as an untyped feed would bring it: times and prices as text, some unreadable,
     missing ids, unknown types, untidy labels, and repeated events with a second price."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import clean, tables
@@ -10,23 +10,54 @@ from tallyspark.plans.shared import write_by
 from tallyspark.sources.schema import DECLARED, RAW_EVENTS, TABLES, declared_columns
 
 
-def read_events_csv(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+def _csv_header(spark: SparkSession, path: str) -> list[str]:
+    header = spark.read.option("header", True).csv(path).columns
+    missing = sorted(set(RAW_EVENTS.names) - set(header))
+    if missing:
+        raise ValueError(f"event file lacks the columns {missing}")
+    return header
+
+
+def _csv_reader(spark: SparkSession, header: list[str], mode: str, *more: str) -> DataFrameReader:
+    kinds = {f.name: f.dataType.simpleString() for f in RAW_EVENTS.fields}
+    schema = ", ".join([*[f"`{name}` {kinds.get(name, 'string')}" for name in header], *more])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    # With column pruning the parser looks only at wanted fields and takes any number of them.
+    return reader.option("mode", mode).option("columnPruning", mode == "PERMISSIVE" and not more)
+
+
+_NUMBERS = [f.name for f in RAW_EVENTS.fields if f.dataType.simpleString() != "string"]
+
+
+def _numbers_read() -> Column:
+    """True for every row. It refers to every number: Spark converts only the fields that a query refers
+    to, and whether a line is malformed must not depend on the columns somebody selects later."""
+    return F.xxhash64(*_NUMBERS) >= F.lit(-(1 << 63))
+
+
+#: What becomes of a malformed line, and the reader's mode for it.
+ON_MALFORMED = {"null": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}
+
+
+def read_events_csv(
+    spark: SparkSession, path: str, nrows: int | None = None, on_malformed: str = "null"
+) -> DataFrame:
     """Raw events from CSV files with a header, in the contract's column order.
 
     The header line is read first: a missing column is an error, extra columns and any column
     order are accepted. All files must have the same header: one with other columns or another
     order is an error, never read by position. Times such as `2019-10-01 00:00:00 UTC` become timestamps, times that
     cannot be read become null. `nrows` is the reader's optional row limit.
+
+    A line is malformed if it has too few or too many fields, or a number that cannot be read.
+    `on_malformed`: "null" keeps it, with null for what is missing or unreadable and without spare fields;
+    "drop" leaves it out; "fail" is strict, the read ends with an error. `malformed_lines` shows them.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    missing = sorted(set(RAW_EVENTS.names) - set(header))
-    if missing:
-        raise ValueError(f"event file lacks the columns {missing}")
-    kinds = {f.name: f.dataType.simpleString() for f in RAW_EVENTS.fields}
-    schema = ", ".join(f"`{name}` {kinds.get(name, 'string')}" for name in header)
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    events = reader.csv(path)
-    events = events.select(
+    reader = _csv_reader(spark, _csv_header(spark, path), ON_MALFORMED[on_malformed])
+    lines = reader.csv(path)
+    if on_malformed != "null":
+        lines = lines.filter(_numbers_read())
+    events = lines.select(
         F.col("event_time").try_cast("timestamp").alias("event_time"),
         *[name for name in RAW_EVENTS.names if name != "event_time"],
     )
@@ -34,6 +65,27 @@ def read_events_csv(spark: SparkSession, path: str, nrows: int | None = None) ->
     return events.limit(nrows).hint("rebalance") if nrows is not None else events
 
 
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The malformed lines of CSV files: (file, problem, line), the problem one of `too few fields`,
+    `too many fields` and `unreadable number`. A field in quotes may hold commas."""
+    header = _csv_header(spark, path)
+    line = "_line"
+    while line in header:
+        line += "_"
+    reader = _csv_reader(spark, header, "PERMISSIVE", f"`{line}` string")
+    lines = reader.option("columnNameOfCorruptRecord", line).csv(path)
+    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    fields = F.size(F.split(line, outside_quotes))
+    problem = (
+        F.when(fields < len(header), "too few fields")
+        .when(fields > len(header), "too many fields")
+        .otherwise("unreadable number")
+    )
+    return lines.filter(_numbers_read() & F.col(line).isNotNull()).select(
+        F.col("_metadata.file_path").alias("file"), problem.alias("problem"), F.col(line).alias("line")
+    )
+
+
 def write_events_csv(events: DataFrame, path: str) -> None:
     """Raw events as CSV files with a header, nulls as empty fields."""
     stamped = events.withColumn(
@@ -52,8 +104,16 @@ def write_tables_parquet(frames: dict[str, DataFrame], folder: str) -> None:
             frame.write.mode("overwrite").parquet(path)
 
 
+def read_events_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    """The written events. Their columns are stated, since a table without rows has no month and
+    so no file to take them from."""
+    columns = clean.clean_events(spark.createDataFrame([], RAW_EVENTS)).schema
+    return spark.read.schema(columns).parquet(f"{folder}/fact_events.parquet")
+
+
 def read_tables_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES}
+    derived = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES[1:]}
+    return {"fact_events": read_events_parquet(spark, folder), **derived}
 
 
 def load_tables(
@@ -140,8 +200,12 @@ def star_schema(events: DataFrame) -> dict[str, DataFrame]:
 def etl_run(raw: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Clean and write the events, then derive and write the other tables from the written events,
     so the cleaning runs once. Returns the tables as read back."""
-    spark = raw.sparkSession
     write_tables_parquet({"fact_events": clean.clean_events(raw)}, folder)
-    events = spark.read.parquet(f"{folder}/fact_events.parquet")
+    return derive_tables(raw.sparkSession, folder)
+
+
+def derive_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Write the four derived tables anew from the written events."""
+    events = read_events_parquet(spark, folder)
     write_tables_parquet({name: build(events) for name, build in DERIVED.items()}, folder)
     return read_tables_parquet(spark, folder)

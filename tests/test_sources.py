@@ -7,7 +7,7 @@ from tallyspark.plans import shared
 from tallyspark.plans.joins import join_lookup
 from tallyspark.plans.mart import mart
 from tallyspark.queries import QUERIES
-from tallyspark.sources import store
+from tallyspark.sources import append, store
 from tallyspark.sources.schema import DECLARED, RAW_EVENTS, TABLES, declared_columns
 
 from conftest import SMALL
@@ -43,6 +43,32 @@ def test_csv_files_with_different_headers(spark, tmp_path):
         store.read_events_csv(spark, both).collect()
 
 
+def test_malformed_csv_lines(spark, tmp_path):
+    good = 's1,2019-10-01 00:00:00 UTC,view,1,2,"a,b",acme,1.5,9'
+    bad = ["s2,2019-10-01 00:00:00 UTC,view", good + ",spare", good.replace("1.5", "n/a"), good.replace(",1,", ",x,")]
+    path = tmp_path / "events.csv"
+    path.write_text("\n".join([HEADER, good, *bad]) + "\n")
+    found = store.malformed_lines(spark, str(path)).collect()
+    assert {r["line"]: r["problem"] for r in found} == dict(
+        zip(bad, ["too few fields", "too many fields", "unreadable number", "unreadable number"])
+    )
+    assert all(r["file"].endswith("events.csv") for r in found)
+    kept = store.read_events_csv(spark, str(path), on_malformed="drop")
+    assert [r["category_code"] for r in kept.collect()] == ["a,b"]
+    # Whatever is selected, the same lines count as malformed.
+    assert kept.count() == 1 and kept.select("brand").count() == 1 and kept.select("user_session").collect() == [("s1",)]
+    assert store.read_events_csv(spark, str(path)).count() == 5
+    strict = store.read_events_csv(spark, str(path), on_malformed="fail")
+    for frame in (strict, strict.select("brand")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            frame.collect()
+    path.write_text("\n".join([HEADER, good]) + "\n")
+    assert store.read_events_csv(spark, str(path), on_malformed="fail").count() == 1
+    assert store.malformed_lines(spark, str(path)).count() == 0
+    with pytest.raises(KeyError):
+        store.read_events_csv(spark, str(path), on_malformed="other")
+
+
 def test_csv_with_missing_columns(spark, tmp_path):
     path = tmp_path / "events.csv"
     path.write_text("event_time,event_type\n2019-10-01,view\n")
@@ -63,6 +89,55 @@ def test_tables_round_trip_with_month_pruning(spark, tmp_path):
         store.load_tables(spark, str(tmp_path / "nowhere"))
 
 
+def _same(one, other):
+    return {n: sorted(map(repr, one[n].collect())) for n in TABLES} == {
+        n: sorted(map(repr, other[n].select(one[n].columns).collect())) for n in TABLES
+    }
+
+
+OLD = [
+    ("2019-10-01 10:00:00", "view", 1, 7, "a", 5.0),
+    ("2019-10-20 10:00:00", "purchase", 1, 7, "a", 5.0),
+    ("2019-10-31 23:59:00", "view", 2, 8, "edge", 9.0, None, None),
+    ("2019-10-31 23:59:30", "cart", 2, 8, "edge", 9.0),
+    ("2019-10-05 00:00:00", "view", 3, 9, None, 1.0),
+    ("2019-09-05 00:00:00", "view", 3, 10, "quiet", 1.0),
+]
+NEW = [
+    ("2019-10-31 23:59:30", "cart", 2, 8, "edge", 4.0),  # a cheaper copy over the month's edge
+    ("2019-10-31 23:59:00", "view", 2, 8, "edge", 9.0, "acme", None),
+    ("2019-11-01 00:00:10", "purchase", 2, 8, "edge", 9.0),
+    ("2019-11-03 00:00:00", "purchase", 4, 9, None, 3.0),
+    ("2019-11-03 00:00:00", "purchase", 4, 9, None, 2.0),
+    ("2019-11-30 00:00:00", "view", 1, 11, "late", 2.0),
+    ("2019-08-01 00:00:00", "view", 5, 12, "older", 2.0),  # a month nobody had
+    (None, "view", 5, 12, "older", 2.0),
+]
+
+
+def test_append_equals_one_run_over_all(spark, raw_of, tmp_path):
+    folder, whole = str(tmp_path / "appended"), str(tmp_path / "whole")
+    before = store.etl_run(raw_of(OLD), folder)
+    quiet = {r["user_id"]: r for r in before["user_metrics"].collect()}[10]
+    september = sorted((tmp_path / "appended/fact_events.parquet/event_month=2019-09").iterdir())
+    after = append.etl_append(raw_of(NEW), folder)
+    assert _same(store.etl_run(raw_of(OLD + NEW), whole), after)
+    assert sorted((tmp_path / "appended/fact_events.parquet/event_month=2019-09").iterdir()) == september
+    later = {r["user_id"]: r for r in after["user_metrics"].collect()}[10]
+    assert later["days_since_last_seen"] > quiet["days_since_last_seen"] and later["is_churned"] == 1
+    # Again, an empty feed, one without a usable event, and the derived tables made anew.
+    assert _same(store.read_tables_parquet(spark, whole), append.etl_append(raw_of(NEW), folder))
+    assert _same(store.read_tables_parquet(spark, whole), append.etl_append(raw_of([]), folder))
+    assert _same(store.read_tables_parquet(spark, whole), append.etl_append(raw_of(NEW[-1:]), folder))
+    assert _same(store.read_tables_parquet(spark, whole), store.derive_tables(spark, folder))
+
+
+def test_append_to_empty_tables(spark, raw_of, tmp_path):
+    folder, whole = str(tmp_path / "appended"), str(tmp_path / "whole")
+    store.etl_run(raw_of([]), folder)
+    assert _same(store.etl_run(raw_of(NEW), whole), append.etl_append(raw_of(NEW), folder))
+
+
 def test_catalog_tables_win_over_files(spark, tmp_path):
     m = mart(spark, SMALL)
     store.create_star_schema(spark, store.star_schema(m.events), "tally_test", str(tmp_path / "db"))
