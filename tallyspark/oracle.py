@@ -601,6 +601,9 @@ ROLLING = """, d AS (SELECT DISTINCT event_date FROM ev),
     FROM d JOIN ud ON on_date <= d.event_date AND on_date > d.event_date - 30 GROUP BY d.event_date"""
 put("rolling_active_users", CLICKS, ROLLING)
 put("rolling_active_users_orders", ORDERS, ROLLING)
+put("rolling_active_bitmaps", CLICKS, ROLLING)
+put("rolling_active_bitmaps_orders", ORDERS, ROLLING)
+ORACLES["window_active_bitmaps"] = ORACLES["window_active"]
 
 # --- funnel ----------------------------------------------------------------------------------
 

@@ -15,7 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import churn, clean, models, segments, tables
+from tallyspark.operators import bitmaps, churn, clean, models, segments, tables
 from tallyspark.plans.shared import new_path, written
 from tallyspark.session import tune
 from tallyspark.sources import append, store
@@ -74,6 +74,15 @@ class Mart:
         late = self.raw.filter(F.col("event_time") >= edge - F.expr("INTERVAL 3 DAYS"))
         return append.etl_append(late, folder)
 
+    @cached_property
+    def bitmaps(self) -> str:
+        """Folder of the user bitmaps: all days but the last seven, then these added."""
+        folder = new_path(self.spark, f"{self.source}-bitmaps")
+        edge = self.days.agg(F.date_sub(F.max("event_date"), 6)).scalar()
+        bitmaps.create_bitmaps(self.days.filter(F.col("event_date") < edge), folder)
+        bitmaps.add_days(self.days.filter(F.col("event_date") >= edge), folder)
+        return folder
+
     @cached_property
     def prepared(self) -> churn.Prepared:
         return churn.prepare(self.users)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.stats import pct_change, safe_corr
 from tallyspark.operators import (
     adoption,
+    bitmaps,
     churn,
     clean,
     cohort,
@@ -579,6 +580,27 @@ def _(m):
     return metrics.rolling_active_users(m.days)
 
 
+@query("rolling_active_bitmaps", "clicks")
+def _(m):
+    return bitmaps.rolling_active_users(m.spark, m.bitmaps)
+
+
+@query("rolling_active_bitmaps_orders")
+def _(m):
+    return bitmaps.rolling_active_users(m.spark, m.bitmaps)
+
+
+@query("window_active_bitmaps", "clicks")
+def _(m):
+    windows = {
+        "latest_7": bitmaps.active_users(m.spark, m.bitmaps, 7),
+        "latest_30": bitmaps.active_users(m.spark, m.bitmaps, 30),
+        "to_jan_20": bitmaps.active_users(m.spark, m.bitmaps, 14, dt.date(2024, 1, 20)),
+    }
+    rows = [w.select(F.lit(n).alias("window_name"), "active_users") for n, w in windows.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- funnel ----------------------------------------------------------------------------------
 
 

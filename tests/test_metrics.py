@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from tallyspark.operators import cohort, metrics, tables, warehouse
+from tallyspark.operators import bitmaps, cohort, metrics, tables, warehouse
 
 
 def test_previous_means_previous_present_period(days_of):
@@ -47,6 +47,44 @@ def test_rolling_users_against_brute_force(days_of):
     assert got == want
 
 
+def test_bitmaps_grown_in_loads_against_brute_force(spark, days_of, tmp_path):
+    pairs = [(u * 10**15 - 9, d) for u, d in _random_days(3, users=60)]
+    folder = str(tmp_path / "bits")
+
+    def load(some):
+        return days_of([(u, d.isoformat()) for u, d in some])
+
+    cut = dt.date(2024, 2, 20)
+    late = [p for i, p in enumerate(pairs) if i % 7 == 0]  # of any date, after newer ones
+    first = [p for p in pairs if p not in late]
+    bitmaps.create_bitmaps(load([p for p in first if p[1] < cut]), folder)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "bits").rglob("*.parquet")}
+    bitmaps.add_days(load([p for p in first if p[1] >= cut]), folder)
+    bitmaps.add_days(load(late + first[:5]), folder)  # some a second time
+    bitmaps.add_days(load([]), folder)
+    assert before.items() <= {p: p.stat().st_mtime_ns for p in (tmp_path / "bits").rglob("*.parquet")}.items()
+
+    def users(day, length):
+        return len({u for u, d in pairs if 0 <= (day - d).days < length})
+
+    want = [(day, users(day, 1), users(day, 7), users(day, 30)) for day in sorted({d for _, d in pairs})]
+    assert [tuple(r) for r in bitmaps.rolling_active_users(spark, folder).collect()] == want
+    recent = bitmaps.rolling_active_users(spark, folder, since=dt.date(2024, 3, 5))
+    assert [tuple(r) for r in recent.collect()] == [r for r in want if r[0] >= dt.date(2024, 3, 5)]
+    assert bitmaps.active_users(spark, folder, 7).first()[0] == want[-1][2]
+    assert bitmaps.active_users(spark, folder, 14, cut).first()[0] == users(cut, 14)
+    assert bitmaps.active_users(spark, folder, 3, dt.date(2020, 1, 1)).first()[0] == 0
+    plan = bitmaps.active_users(spark, folder, 7, cut)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(event_month" in plan
+
+
+def test_bitmaps_of_nothing(spark, days_of, tmp_path):
+    folder = str(tmp_path / "bits")
+    bitmaps.create_bitmaps(days_of([]), folder)
+    assert bitmaps.rolling_active_users(spark, folder).collect() == []
+    assert bitmaps.active_users(spark, folder, 7).first()[0] == 0
+
+
 def test_day_n_against_brute_force(days_of):
     pairs = _random_days(2)
     first = {}
