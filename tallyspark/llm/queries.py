@@ -146,7 +146,7 @@ def op7_quality_rules(spark, sf_dir):
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), "kept", "rejected_by",
+        base.alias("base_failed"), "kept",
     )
 
 

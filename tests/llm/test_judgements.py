@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_fixtures import ODD, docs_of, none, odd  # noqa: F401
 from conftest import SMALL
@@ -120,6 +121,27 @@ def test_order_never_changes_the_verdict(spark):
     assert sorted(r.name for r in plan) == sorted(r.name for r in rules.default_rules())
 
 
+def test_a_rejected_row_reaches_no_later_rule(docs_of):
+    docs = docs_of([None, "a b c", "a b c d e " * 4, " ".join(f"word{i}" for i in range(30)), "x " * 9])
+    by_name = {r.name: r for r in rules.default_rules()}
+    unreached = rules.Rule("unreached", F.when(F.length("_text") < 10, F.raise_error("reached").cast("boolean")).otherwise(False))
+    got = rules.cascade(rules.texts(docs), [by_name["few_words"], unreached, by_name["repeated_words"], by_name["capitals"]])
+    rows = sorted(got.collect())
+    assert [r.rejected_by for r in rows] == ["few_words", "few_words", "repeated_words", None, "few_words"]
+    assert [r.n_words for r in rows] == [0, 3, 20, 30, 9]
+    assert [r.n_repeat_words for r in rows] == [None, None, 20, 0, None]  # looked at only if the row gets there
+    assert [r.n_letters for r in rows] == [None, None, None, 120, None]
+
+
+def test_verdicts_without_measures(spark, odd, none):
+    docs = documents(spark, SMALL)
+    lean = rules.quality_rules(docs, measures=False)
+    assert lean.columns == ["doc_id", "kept", "rejected_by"]
+    assert {r.doc_id: r.kept for r in lean.collect()} == {r.doc_id: r.kept for r in rules.quality_rules(docs).collect()}
+    assert rules.quality_rules(odd, measures=False).count() == len(ODD)
+    assert rules.quality_rules(none, measures=False).collect() == []
+
+
 def test_rules_agree_with_labels(spark):
     docs = documents(spark, SMALL)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality")
