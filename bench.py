@@ -18,11 +18,11 @@ from tallyspark.plans.mart import mart  # noqa: E402
 from tallyspark.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "etl_run", "clean_events", "data_quality_report", "user_metrics", "session_metrics",
+    "etl_run", "etl_append", "clean_events", "data_quality_report", "user_metrics", "session_metrics",
     "product_metrics", "daily_activity", "sql_user_value", "sql_product_metrics", "sql_funnel",
     "sql_monthly_cohorts", "sql_churn_features", "filter_events", "filtered_users",
     "executive_kpis", "kpi_deltas_orders", "kpi_sparks", "retention_trend",
-    "rolling_active_users_orders", "funnel_stages", "funnel_impact", "cohort_matrix",
+    "rolling_active_users_orders", "rolling_active_bitmaps_orders", "funnel_stages", "funnel_impact", "cohort_matrix",
     "day_n_retention_orders", "assign_segments", "segment_summary", "adoption_table",
     "correlation_drivers", "segment_impact", "rank_causes", "ab_analyze", "stratified_split",
     "auc", "roc_curve", "churn_logreg", "churn_random_forest", "churn_gbt", "train_compare",
