@@ -132,6 +132,20 @@ def test_append_equals_one_run_over_all(spark, raw_of, tmp_path):
     assert _same(store.read_tables_parquet(spark, whole), store.derive_tables(spark, folder))
 
 
+def test_append_that_broke_off_is_repeated(spark, raw_of, tmp_path, monkeypatch):
+    folder, whole = str(tmp_path / "appended"), str(tmp_path / "whole")
+    store.etl_run(raw_of(OLD), folder)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:  # the months are replaced, the derived tables are not
+        patch.setattr(append, "write_tables_parquet", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            append.etl_append(raw_of(NEW), folder)
+    assert _same(store.etl_run(raw_of(OLD + NEW), whole), append.etl_append(raw_of(NEW), folder))
+
+
 def test_append_to_empty_tables(spark, raw_of, tmp_path):
     folder, whole = str(tmp_path / "appended"), str(tmp_path / "whole")
     store.etl_run(raw_of([]), folder)
