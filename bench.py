@@ -54,7 +54,7 @@ def main() -> None:
 
     def build():
         tables = mart(spark, sf_dir)
-        return tables.events, tables.days, tables.users, tables.sessions
+        return tables.events, tables.days, tables.activity, tables.users, tables.sessions
 
     timed("build_mart", build)
     for name in HEADLINE:

@@ -29,7 +29,11 @@ def cohort_activity(days: DataFrame) -> DataFrame:
 def cohort_retention(days: DataFrame) -> DataFrame:
     """Long form of the cohort matrix: percent of the cohort active `month_number` months after
     its first month, one decimal. Months without activity have no row."""
-    activity = cohort_activity(days)
+    return retention_matrix(cohort_activity(days))
+
+
+def retention_matrix(activity: DataFrame) -> DataFrame:
+    """Percent of the cohort from the active users per cohort and month number."""
     size = F.max(F.when(F.col("month_number") == 0, F.col("active_users"))).over(
         Window.partitionBy("cohort")
     )
@@ -43,7 +47,10 @@ def cohort_retention(days: DataFrame) -> DataFrame:
 def cohort_matrix(days: DataFrame, months: list[int] | None = None) -> DataFrame:
     """Wide form for display: one column per month number. Without `months` the columns run to
     the largest month number, a single number fetched to name them."""
-    long = cohort_retention(days)
+    return wide_matrix(cohort_retention(days), months)
+
+
+def wide_matrix(long: DataFrame, months: list[int] | None = None) -> DataFrame:
     if months is None:
         last = long.agg(F.max("month_number")).first()[0]
         months = list(range((last or 0) + 1))
@@ -68,6 +75,11 @@ def day_n_retention(days: DataFrame, day_list: tuple[int, ...] = DAY_LIST) -> Da
         F.count_if(F.col("age") == 0).alias("users"),
         *[F.count_if(F.col("age") == n).alias(f"d{n}") for n in day_list],
     )
+    return retention_shares(counts, day_list)
+
+
+def retention_shares(counts: DataFrame, day_list: tuple[int, ...]) -> DataFrame:
+    """A row per day n from one row of `users` and counts `d<n>`."""
 
     def share(n: int):
         return 100.0 * F.col(f"d{n}") / F.nullif(F.col("users"), F.lit(0))

@@ -64,6 +64,11 @@ def retention_trend(days: DataFrame) -> DataFrame:
         .groupBy("monday", "came_from")
         .agg(F.count("user_id").alias("n"))
     )
+    return retention_of_pairs(pairs)
+
+
+def retention_of_pairs(pairs: DataFrame) -> DataFrame:
+    """Weekly retention from users per week and the week they came from."""
     in_order = Window.orderBy("monday")
     per_week = pairs.groupBy("monday").agg(
         F.sum("n").alias("users"), F.max(F.struct("came_from", "n")).alias("latest")

@@ -15,7 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import bitmaps, churn, clean, models, segments, tables
+from tallyspark.operators import activity, bitmaps, churn, clean, models, segments, tables
 from tallyspark.plans.shared import new_path, written
 from tallyspark.session import tune
 from tallyspark.sources import append, store
@@ -48,6 +48,10 @@ class Mart:
     def days(self) -> DataFrame:
         return self._keep(tables.user_days(self.events), "days")
 
+    @cached_property
+    def activity(self) -> DataFrame:
+        return self._keep(activity.user_activity(self.days), "activity")
+
     @cached_property
     def users(self) -> DataFrame:
         return self._keep(tables.user_metrics(self.events), "users")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.stats import pct_change, safe_corr
 from tallyspark.operators import (
+    activity,
     adoption,
     bitmaps,
     churn,
@@ -510,17 +511,17 @@ def _(m):
 
 @query("retention_trend")
 def _(m):
-    return metrics.retention_trend(m.days)
+    return activity.retention_trend(m.activity)
 
 
 @query("retention_trend_clicks", "clicks")
 def _(m):
-    return metrics.retention_trend(m.days)
+    return activity.retention_trend(m.activity)
 
 
 @query("churn_trend")
 def _(m):
-    return metrics.churn_trend(metrics.retention_trend(m.days))
+    return metrics.churn_trend(activity.retention_trend(m.activity))
 
 
 @query("window_active", "clicks")
@@ -546,27 +547,27 @@ def _(m):
 @query("kpi_deltas", "clicks")
 def _(m):
     return metrics.kpi_deltas(
-        m.days, metrics.revenue_trend(m.events), metrics.retention_trend(m.days)
+        m.days, metrics.revenue_trend(m.events), activity.retention_trend(m.activity)
     )
 
 
 @query("kpi_deltas_orders")
 def _(m):
     return metrics.kpi_deltas(
-        m.days, metrics.revenue_trend(m.events), metrics.retention_trend(m.days)
+        m.days, metrics.revenue_trend(m.events), activity.retention_trend(m.activity)
     )
 
 
 @query("kpi_sparks")
 def _(m):
     return metrics.kpi_sparks(
-        m.days, metrics.revenue_trend(m.events), metrics.retention_trend(m.days)
+        m.days, metrics.revenue_trend(m.events), activity.retention_trend(m.activity)
     )
 
 
 @query("retention_churn_join")
 def _(m):
-    kept = metrics.retention_trend(m.days)
+    kept = activity.retention_trend(m.activity)
     return metrics.retention_churn_join(kept, metrics.churn_trend(kept))
 
 
@@ -628,9 +629,13 @@ def _(m):
 # --- cohorts ---------------------------------------------------------------------------------
 
 
+def _retention(m: Mart) -> DataFrame:
+    return cohort.retention_matrix(activity.cohort_activity(m.activity))
+
+
 @query("cohort_matrix")
 def _(m):
-    return cohort.cohort_retention(m.days)
+    return _retention(m)
 
 
 def _cells(wide: DataFrame, key: str, of: Callable[[str], Column]) -> DataFrame:
@@ -646,39 +651,39 @@ def _long(wide: DataFrame, key: str, column: str, value: str) -> DataFrame:
 @query("cohort_matrix_wide")
 def _(m):
     """Every month number from 0 on, one row per cohort."""
-    return _cells(cohort.cohort_matrix(m.days), "cohort", lambda c: F.col(c).cast("string"))
+    return _cells(cohort.wide_matrix(_retention(m)), "cohort", lambda c: F.col(c).cast("string"))
 
 
 @query("cohort_matrix_all")
 def _(m):
     """Every cell of the wide matrix, null without activity."""
-    long = _long(cohort.cohort_matrix(m.days), "cohort", "month_number", "retention_pct")
+    long = _long(cohort.wide_matrix(_retention(m)), "cohort", "month_number", "retention_pct")
     return long.withColumn("month_number", F.col("month_number").cast("bigint"))
 
 
 @query("cohort_sizes")
 def _(m):
-    return cohort.cohort_sizes(m.days)
+    return activity.cohort_sizes(m.activity)
 
 
 @query("day_n_retention", "clicks")
 def _(m):
-    return cohort.day_n_retention(m.days)
+    return activity.day_n_retention(m.activity)
 
 
 @query("day_n_retention_orders")
 def _(m):
-    return cohort.day_n_retention(m.days)
+    return activity.day_n_retention(m.activity)
 
 
 @query("cohort_summary")
 def _(m):
-    return cohort.cohort_summary(cohort.cohort_retention(m.days), cohort.day_n_retention(m.days))
+    return cohort.cohort_summary(_retention(m), activity.day_n_retention(m.activity))
 
 
 @query("retention_benchmark", "clicks")
 def _(m):
-    return cohort.retention_benchmark(cohort.day_n_retention(m.days))
+    return cohort.retention_benchmark(activity.day_n_retention(m.activity))
 
 
 # --- segments --------------------------------------------------------------------------------
@@ -752,7 +757,7 @@ def _revenue_drops(m: Mart, threshold: float) -> DataFrame:
 
 def _retention_drops(m: Mart, threshold: float) -> DataFrame:
     return rootcause.detect_drops(
-        metrics.retention_trend(m.days), "week", "retention_pct", "retention", threshold
+        activity.retention_trend(m.activity), "week", "retention_pct", "retention", threshold
     )
 
 
