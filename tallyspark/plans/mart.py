@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import activity, bitmaps, churn, clean, models, segments, tables
+from tallyspark.plans import layout
 from tallyspark.plans.shared import new_path, written
 from tallyspark.session import tune
 from tallyspark.sources import append, store
@@ -36,6 +37,13 @@ class Mart:
     def _keep(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
         return written(frame, f"{self.source}-{name}", by)
 
+    @cached_property
+    def _buckets(self) -> int:
+        return layout.bucket_count(self.events.count())
+
+    def _bucketed(self, frame: DataFrame, name: str, order: tuple[str, ...] = ("user_id",)) -> DataFrame:
+        return layout.bucketed(frame, f"{self.source}-{name}", self._buckets, order)
+
     @property
     def raw(self) -> DataFrame:
         return ADAPTERS[self.source](self.spark, self.sf_dir)
@@ -54,7 +62,7 @@ class Mart:
 
     @cached_property
     def users(self) -> DataFrame:
-        return self._keep(tables.user_metrics(self.events), "users")
+        return self._bucketed(tables.user_metrics(self.events), "users")
 
     @cached_property
     def cuts(self) -> dict[str, float | None]:
@@ -63,7 +71,16 @@ class Mart:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self._keep(tables.session_metrics(self.events), "sessions")
+        return self._bucketed(tables.session_metrics(self.events), "sessions")
+
+    @cached_property
+    def clustered(self) -> DataFrame:
+        """The events again, laid out for slices by category and brand."""
+        return layout.clustered(self.events, f"{self.source}-clustered")
+
+    @cached_property
+    def slices(self) -> DataFrame:
+        return self._bucketed(layout.user_slices(self.events), "slices", layout.SLICED_BY)
 
     @cached_property
     def appended(self) -> dict[str, DataFrame]:

@@ -448,7 +448,12 @@ def _(m):
 
 
 def _filtered(m: Mart) -> DataFrame:
-    return filters.filter_events(m.events, FILTER)
+    return filters.filter_events(m.clustered, FILTER)
+
+
+def _seen(m: Mart) -> DataFrame:
+    """What the filters leave of the users' slices: enough for who has such events."""
+    return filters.filter_events(m.slices, FILTER)
 
 
 @query("filter_events")
@@ -463,12 +468,12 @@ def _(m):
 
 @query("filtered_users")
 def _(m):
-    return filters.filtered_users(m.users, _filtered(m), FILTER)
+    return filters.filtered_users(m.users, _seen(m), FILTER)
 
 
 @query("filtered_sessions")
 def _(m):
-    return filters.filtered_sessions(m.sessions, _filtered(m))
+    return filters.filtered_sessions(m.sessions, _seen(m))
 
 
 # --- executive metrics -----------------------------------------------------------------------
@@ -490,8 +495,8 @@ def _(m):
 
 @query("executive_kpis_filtered")
 def _(m):
-    users = filters.filtered_users(m.users, _filtered(m), FILTER)
-    return metrics.executive_kpis(tables.user_days(_filtered(m)), users)
+    users = filters.filtered_users(m.users, _seen(m), FILTER)
+    return metrics.executive_kpis(_seen(m).select("user_id", "event_date").distinct(), users)
 
 
 @query("daily_active_trend", "clicks")
