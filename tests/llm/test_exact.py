@@ -3,12 +3,13 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from llm_fixtures import ODD, docs_of, none, odd  # noqa: F401
 from tallyspark.llm import exact
-from tallyspark.llm.exact import CountingQuotientFilter
+from tallyspark.llm.exact import CountingQuotientFilter, Slicing
 
 
 @settings(max_examples=60, deadline=None)
@@ -42,6 +43,22 @@ def test_matches_brute_force(docs_of):
     assert sorted(map(tuple, exact.exact_dedup(docs_of(rows)).collect()), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("cut", [Slicing(2, 5), Slicing(5, 8), Slicing(14, 17), Slicing(14, 28)])
+def test_result_does_not_depend_on_slices_or_full_marks(docs_of, cut):
+    random.seed(2)
+    rows = [(i, f"{random.choice('xyz')} {random.randrange(120)}") for i in range(300)]
+    assert sorted(map(tuple, exact.exact_dedup(docs_of(rows), cut=cut).collect()), key=repr) == brute(rows)
+
+
+def test_slices_and_marks_follow_the_rows():
+    of = {rows: Slicing.of(rows) for rows in (0, 1, 256_410, 10**8, 5 * 10**10, 10**13)}
+    assert of[0] == of[1] == of[256_410] == Slicing(10, 23)
+    for rows, cut in of.items():
+        assert rows >> cut.slice_bits <= 1 << 22  # fingerprints that are merged together
+        assert 3 <= cut.quotient_bits and cut.mark_bits <= 28
+    assert of[5 * 10**10].slice_bits == 14 and of[10**8].mark_bits == 28
+
+
 def test_odd_rows(odd, none):
     got = [tuple(r) for r in exact.exact_dedup(odd).collect()]
     rows = ODD
