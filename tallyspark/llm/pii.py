@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import only, text_batches
@@ -177,7 +177,8 @@ _SPAN = pa.list_(
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """One row per given row: doc_id and its spans, base and looser ones, with votes and features."""
+    """One row per given row: doc_id, the digest of its text, and its spans, base and looser ones, with
+    votes and features."""
 
     def of(text: str) -> list[dict]:
         base = base_spans(text)
@@ -193,10 +194,15 @@ def proposals(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            yield pa.record_batch({**only(batch, "doc_id"), "found": pa.array([of(t) for t in texts], _SPAN)})
+            yield pa.record_batch({**only(batch, "doc_id", "text_sha256"), "found": pa.array([of(t) for t in texts], _SPAN)})
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found {_SPAN_DDL}")
+    rows = docs.select("doc_id", "text", _digest().alias("text_sha256"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_sha256 string, found {_SPAN_DDL}")
+
+
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +274,8 @@ def fit(found: DataFrame) -> Classifier:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """One row per given row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans:
-    arrays of (kind, start, end) by start, then kind, in code points, end exclusive.
+    """One row per given row: doc_id, text_sha256, n_email, n_ip, n_card, n_phone (base spans), base and
+    spans: arrays of (kind, start, end) by start, then kind, in code points, end exclusive.
 
     A null or empty text has no spans. Repeated rows are judged each for itself; without any
     proposal in the table nothing is trained. Other columns are not looked at.
@@ -289,20 +295,24 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 f"n_{kind}": pa.array([sum(s["kind"] == k for s in own) for own in base], pa.int64())
                 for k, kind in enumerate(KINDS)
             }
-            yield pa.record_batch({**only(batch, "doc_id"), **counts, "base": plain(base), "spans": plain(final)})
+            yield pa.record_batch({**only(batch, "doc_id", "text_sha256"), **counts, "base": plain(base), "spans": plain(final)})
 
     kind = found.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     out = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return found.mapInArrow(run, f"doc_id {kind}, {counts}, base {out}, spans {out}")
+    return found.mapInArrow(run, f"doc_id {kind}, text_sha256 string, {counts}, base {out}, spans {out}")
 
 
 _OUT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id and text with each span replaced by its kind in brackets; overlapping spans merge
-    under the first one's kind. `spans` is the result of `find_personal_data`; ids must be unique."""
+    """One row per given row: doc_id and text with each span replaced by its kind in brackets;
+    overlapping spans merge under the first one's kind. `spans` is the result of `find_personal_data`.
+
+    Spans follow from the text alone and are joined by its digest, copies collapsed first: null and
+    repeated ids lose and multiply no row. A null text becomes an empty one; a text without a row in
+    `spans` stays as it is."""
     pieces = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
@@ -319,5 +329,7 @@ def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring("_t", (a["at"] + 1).cast("int"), F.length("_t"))),
     )
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    return rows.join(spans.select("doc_id", "spans"), "doc_id").select("doc_id", pieces.alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), _digest().alias("_sha"))
+    texts = spans.filter(F.size("spans") > 0).groupBy(F.col("text_sha256").alias("_sha")).agg(F.first("spans").alias("spans"))
+    text = F.when(F.col("spans").isNull(), F.col("_t")).otherwise(pieces)
+    return rows.join(texts, "_sha", "left").select("doc_id", text.alias("text"))

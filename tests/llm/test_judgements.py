@@ -220,6 +220,17 @@ def test_personal_data_of_odd_rows(odd, none):
     got = pii.find_personal_data(odd).collect()
     assert len(got) == len(ODD) and all(not r.base for r in got)
     assert pii.find_personal_data(none).collect() == []
+    hidden = pii.masked(odd, pii.find_personal_data(odd)).collect()
+    assert sorted(map(tuple, hidden), key=repr) == sorted([(r[0], r[1] or "") for r in ODD], key=repr)
+    assert pii.masked(none, pii.find_personal_data(none)).collect() == []
+
+
+def test_masking_loses_and_multiplies_no_row(docs_of):
+    rows = [(None, "a@b.de or c"), (None, "no data"), (None, None), (7, "x 10.1.2.3 y"), (7, "x 10.1.2.3 y"), (7, "e@f.org"), (8, "plain")]
+    want = [(None, "[email] or c"), (None, "no data"), (None, ""), (7, "x [ip] y"), (7, "x [ip] y"), (7, "[email]"), (8, "plain")]
+    docs = docs_of(rows)
+    got = pii.masked(docs, pii.find_personal_data(docs)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
 def test_shares_meet_their_targets(spark, docs_of):
