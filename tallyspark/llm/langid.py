@@ -300,7 +300,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
 
 def keep_identified(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The rows of `docs` whose text has a language, in the given columns, with `lang` set to it; the
-    others are rejected."""
+    others are rejected: null, empty and letterless texts, and all of them if the model has no language.
+    Every row is judged for itself, so repeated rows stay or go together; ties go to the first language by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, limit=_BATCH):
