@@ -83,21 +83,35 @@ def filter_vocabulary(events: DataFrame) -> DataFrame:
     return events.filter(F.col("event_type").isin(*EVENT_TYPES))
 
 
-def clean_events(raw: DataFrame) -> DataFrame:
-    """All steps. The type filter and the derived columns commute with the de-duplication, so
-    the shuffle carries only wanted rows and no derived column."""
+def wanted_events(raw: DataFrame) -> DataFrame:
+    """Rows of known type, complete and with clean values; copies are still there."""
     return (
         raw.transform(normalize_timestamps)
         .transform(drop_incomplete)
         .transform(fill_categoricals)
         .transform(coerce_price)
         .transform(filter_vocabulary)
-        .transform(dedup_events)
-        .transform(split_category)
-        .transform(calendar_columns)
     )
 
 
+def by_month(events: DataFrame) -> DataFrame:
+    """Whole files of a month, for a writer that partitions by month: small months share a task, a large
+    one is split. Before the derived columns are added, so that only the month travels with an event."""
+    month = calendar_columns(events).select(*events.columns, "event_month")
+    return month.hint("rebalance", "event_month").select(*events.columns)
+
+
+def derived_columns(events: DataFrame) -> DataFrame:
+    return events.transform(split_category).transform(calendar_columns)
+
+
+def clean_events(raw: DataFrame, to_write: bool = False) -> DataFrame:
+    """All steps. The type filter and the derived columns commute with the de-duplication, so
+    the shuffle carries only wanted rows and no derived column. `to_write` lays the rows out by month."""
+    events = raw.transform(wanted_events).transform(dedup_events)
+    return derived_columns(by_month(events) if to_write else events)
+
+
 def data_quality_report(raw: DataFrame, clean: DataFrame | None = None) -> DataFrame:
     """Six (metric, value) rows: volumes before and after cleaning, and nulls in the raw data.
 

@@ -44,20 +44,40 @@ def _first_user() -> tuple[Column, Callable[[Column], Column]]:
     return key.cast("decimal(38,0)"), lambda least: (least % span - F.lit(str(_ID_SHIFT)).cast("decimal(19,0)")).cast("bigint")
 
 
-def session_metrics(events: DataFrame) -> DataFrame:
+#: Events of one key that a single task still takes whole.
+HOT_EVENTS = 100_000
+
+
+def _apart(events: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Events of the keys that have at most so many, and those of the hot keys. One count by key finds
+    these; there are fewer of them than events divided by the limit, so they are broadcast."""
+    counts = events.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.filter(F.col("_n") > most).select("_hot"))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return events.join(hot, same, "left_anti"), events.join(hot, same, "left_semi")
+
+
+def _kind() -> Column:
+    """The event type as the number of its count."""
+    return F.when(is_type("view"), 1).when(is_type("cart"), 2).when(is_type("purchase"), 3).cast("tinyint")
+
+
+def _kind_counts() -> list[Column]:
+    return [F.count_if(F.col("kind") == i).alias(name) for i, name in enumerate(_type_counts(), 1)]
+
+
+def _n_distinct(column: str) -> Column:
+    """Different values, null being one, of a group that is bounded in size."""
+    return F.size(F.collect_set(column)).cast("bigint") + F.max(F.col(column).isNull().cast("bigint"))
+
+
+def session_metrics(events: DataFrame, hot: int = HOT_EVENTS) -> DataFrame:
     """One row per session. The session's user is that of its earliest event (lowest id on a
-    tie; for times from the year 1 on). The product count is a distinct aggregate, planned in two phases, so the session of
-    all session-less events is combined before and after its shuffle."""
-    order, user_in = _first_user()
-    sessions = events.groupBy("user_session").agg(
-        user_in(F.min(order)).alias("user_id"),
-        F.min("event_time").alias("session_start"),
-        F.max("event_time").alias("session_end"),
-        F.count(F.lit(1)).alias("n_events"),
-        *[count.alias(name) for name, count in _type_counts().items()],
-        F.countDistinct("product_id").alias("n_products"),
-        or_zero(money_sum(_bought())).alias("revenue"),
-    )
+    tie; for times from the year 1 on). Events are shuffled once, by session, but for a session with more
+    than `hot` events, as that of all session-less events may be: its products are counted in two
+    phases, so it is combined before and after its shuffle."""
+    few, many = _apart(events, "user_session", hot)
+    sessions = _sessions_at_once(few).unionByName(_sessions_spread(many))
     return sessions.withColumns(
         {
             "session_duration_proxy": seconds_between(
@@ -70,6 +90,35 @@ def session_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def _sessions_at_once(events: DataFrame) -> DataFrame:
+    order, user_in = _first_user()
+    slim = events.select(
+        "user_session", "event_time", "user_id", "product_id", _kind().alias("kind"), F.when(_bought(), exact()).alias("paid")
+    ).repartition("user_session")
+    return slim.groupBy("user_session").agg(
+        user_in(F.min(order)).alias("user_id"),
+        F.min("event_time").alias("session_start"),
+        F.max("event_time").alias("session_end"),
+        F.count(F.lit(1)).alias("n_events"),
+        *_kind_counts(),
+        F.size(F.collect_set("product_id")).cast("bigint").alias("n_products"),
+        or_zero(F.sum("paid").cast("double")).alias("revenue"),
+    )
+
+
+def _sessions_spread(events: DataFrame) -> DataFrame:
+    order, user_in = _first_user()
+    return events.groupBy("user_session").agg(
+        user_in(F.min(order)).alias("user_id"),
+        F.min("event_time").alias("session_start"),
+        F.max("event_time").alias("session_end"),
+        F.count(F.lit(1)).alias("n_events"),
+        *[count.alias(name) for name, count in _type_counts().items()],
+        F.countDistinct("product_id").alias("n_products"),
+        or_zero(money_sum(_bought())).alias("revenue"),
+    )
+
+
 def _per_facet(
     events: DataFrame, key: str, facets: list[str | tuple[str, ...]], measures: dict[str, Column]
 ) -> tuple[DataFrame, Callable[[str | tuple[str, ...]], Column]]:
@@ -97,12 +146,43 @@ def _per_facet(
     return rows, in_set
 
 
-def user_facets(events: DataFrame) -> DataFrame:
+def user_facets(events: DataFrame, hot: int = HOT_EVENTS) -> DataFrame:
     """Per user: totals, distinct sessions / products / brands / categories, and the most
     frequent brand and category (lowest value on a tie).
 
-    Four distinct aggregates plus two modes in one `groupBy` took 2.6 times as long and kept whole
-    value sets per user in memory."""
+    Events are shuffled once, by user, and a user is summed up where its events lie. A user with more than
+    `hot` events is spread by (user, value) instead. That way for all users moved every event four
+    times, with sums that spilled on the map side."""
+    few, many = _apart(events, "user_id", hot)
+    return _users_at_once(few).unionByName(_users_spread(many))
+
+
+def _users_at_once(events: DataFrame) -> DataFrame:
+    slim = events.select(
+        "user_id", "event_time", _kind().alias("kind"), F.when(_bought(), exact()).alias("paid"),
+        "user_session", "product_id", "brand", "category",
+    ).repartition("user_id")
+
+    def most_frequent(facet: str) -> Column:
+        return F.mode(F.struct(facet), True)[facet]  # a struct, so that null is a value like others
+
+    return slim.groupBy("user_id").agg(
+        F.min("event_time").alias("first_seen"),
+        F.max("event_time").alias("last_seen"),
+        F.count(F.lit(1)).alias("total_events"),
+        *_kind_counts(),
+        _n_distinct("user_session").alias("n_sessions"),
+        _n_distinct("product_id").alias("n_products"),
+        _n_distinct("brand").alias("n_brands"),
+        _n_distinct("category").alias("n_categories"),
+        F.sum("paid").cast("double").alias("spent"),
+        F.max(F.when(F.col("kind") == 3, F.col("event_time"))).alias("last_purchase_time"),
+        most_frequent("brand").alias("preferred_brand"),
+        most_frequent("category").alias("preferred_category"),
+    )
+
+
+def _users_spread(events: DataFrame) -> DataFrame:
     per_value, in_set = _per_facet(
         events,
         "user_id",
@@ -206,11 +286,33 @@ def user_metrics(events: DataFrame, latest: Column | None = None) -> DataFrame:
     )
 
 
-def product_facets(events: DataFrame) -> DataFrame:
+def product_facets(events: DataFrame, hot: int = HOT_EVENTS) -> DataFrame:
     """Per product: totals, distinct users, and its category and brand in two readings: those of
     the earliest event (lowest value on a tie) and the highest ones.
 
-    The labels come from a grouping set of their own, a row or two per product: as an aggregate
+    Like users: events are shuffled once, by product, and only a product with more than `hot` events is
+    spread by (product, value)."""
+    few, many = _apart(events, "product_id", hot)
+    return _products_at_once(few).unionByName(_products_spread(many))
+
+
+def _products_at_once(events: DataFrame) -> DataFrame:
+    labels = ("category", "brand")
+    slim = events.select(
+        "product_id", "user_id", "event_time", _kind().alias("kind"), exact().alias("asked"), F.col("price").isNotNull().alias("priced"), *labels
+    ).repartition("product_id")
+    return slim.groupBy("product_id").agg(
+        *[F.min(F.struct("event_time", label))[label].alias(f"first_{label}") for label in labels],
+        *[F.max(label).alias(f"highest_{label}") for label in labels],
+        (F.sum("asked").cast("double") / F.nullif(F.count_if("priced"), F.lit(0))).alias("avg_price"),
+        *_kind_counts(),
+        _n_distinct("user_id").alias("n_unique_users"),
+        F.sum(F.when(F.col("kind") == 3, F.col("asked"))).cast("double").alias("spent"),
+    )
+
+
+def _products_spread(events: DataFrame) -> DataFrame:
+    """The labels come from a grouping set of their own, a row or two per product: as an aggregate
     over the events their text would turn the whole aggregation into a sorting one."""
     labels = ("category", "brand")
     per_value, in_set = _per_facet(

@@ -50,7 +50,7 @@ class Mart:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._keep(clean.clean_events(self.raw), "events", by="event_month")
+        return written(clean.clean_events(self.raw, to_write=True), f"{self.source}-events", by="event_month", laid_out=True)
 
     @cached_property
     def days(self) -> DataFrame:
@@ -87,12 +87,13 @@ class Mart:
         """The five tables, loaded up to the last month and then given that month as a file that
         starts three days early, so that it repeats events over the month's edge."""
         folder = new_path(self.spark, f"{self.source}-appended")
-        last = self.events.agg(F.max("event_month")).first()[0]
+        raw = self._keep(self.raw, "raw")  # read three times, joined once
+        last = clean.wanted_events(raw).agg(F.date_format(F.max("event_time"), "yyyy-MM")).first()[0]
         if last is None:
-            return store.etl_run(self.raw, folder)
+            return store.etl_run(raw, folder)
         edge = F.lit(f"{last}-01").cast("timestamp")
-        store.etl_run(self.raw.filter(F.col("event_time") < edge), folder)
-        late = self.raw.filter(F.col("event_time") >= edge - F.expr("INTERVAL 3 DAYS"))
+        store.etl_run(raw.filter(F.col("event_time") < edge), folder)
+        late = raw.filter(F.col("event_time") >= edge - F.expr("INTERVAL 3 DAYS"))
         return append.etl_append(late, folder)
 
     @cached_property

@@ -42,21 +42,21 @@ def remove_written(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_by(df: DataFrame, column: str, path: str, touched_only: bool = False) -> None:
+def write_by(df: DataFrame, column: str, path: str, touched_only: bool = False, laid_out: bool = False) -> None:
     """Write a Parquet dataset partitioned by a column, replacing what is there, or with
     `touched_only` just the values that the frame has.
 
     `rebalance` gives each value whole files of the advisory size: small values share a task, a
-    value too large for one task is split."""
-    out = df.hint("rebalance", column).write.mode("overwrite").partitionBy(column)
+    value too large for one task is split. Rows that are `laid_out` like that are not moved again."""
+    out = (df if laid_out else df.hint("rebalance", column)).write.mode("overwrite").partitionBy(column)
     out.option("partitionOverwriteMode", "dynamic" if touched_only else "static").parquet(path)
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, laid_out: bool = False) -> DataFrame:
     """Write a frame as Parquet in the shared folder, `by` a column if given, and read it back."""
     path = new_path(df.sparkSession, name)
     if by:
-        write_by(df, by, path)
+        write_by(df, by, path, laid_out=laid_out)
     else:
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,17 @@ def _merged_events(old: DataFrame, fresh: DataFrame, months: list[str]) -> DataF
     same month and a copy kept before meets the new one here, whichever file brought either."""
     kept = old.filter(F.col("event_month").isin(months))  # prunes directories
     both = kept.select(*RAW_EVENTS.names).unionByName(fresh.select(*RAW_EVENTS.names))
-    return both.transform(clean.dedup_events).transform(clean.split_category).transform(clean.calendar_columns)
+    return clean.derived_columns(both.transform(clean.dedup_events).transform(clean.by_month))
+
+
+#: New keys that are broadcast, some 32 MB of them; more take a shuffle join.
+BROADCAST_KEYS = 1_000_000
+
+
+def _keys(fresh: DataFrame, key: str) -> DataFrame:
+    """The users or products of the new events."""
+    seen = fresh.select(key).distinct()
+    return F.broadcast(seen) if seen.count() <= BROADCAST_KEYS else seen
 
 
 def _users(old: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -26,7 +36,7 @@ def _users(old: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
         old.agg(F.max("last_seen").alias("at")).unionByName(fresh.agg(F.max("event_time").alias("at")))
         .agg(F.max("at")).scalar()
     )
-    seen = fresh.select("user_id").distinct()
+    seen = _keys(fresh, "user_id")
     anew = tables.user_metrics(events.join(seen, "user_id", "left_semi"), latest)
     return tables.with_recency(old.join(seen, "user_id", "left_anti"), latest).unionByName(anew)
 
@@ -47,7 +57,7 @@ def _sessions(old: DataFrame, events: DataFrame, fresh: DataFrame, months: list[
 
 
 def _products(old: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
-    seen = fresh.select("product_id").distinct()
+    seen = _keys(fresh, "product_id")
     anew = tables.product_metrics(events.join(seen, "product_id", "left_semi"))
     return old.join(seen, "product_id", "left_anti").unionByName(anew)
 
@@ -74,13 +84,13 @@ def etl_append(raw: DataFrame, folder: str) -> dict[str, DataFrame]:
     Times and keys are those of cleaned events; nothing is written for a feed without any.
     """
     spark = raw.sparkSession
-    fresh = written(clean.clean_events(raw), "append-fresh", by="event_month")
+    fresh = written(clean.clean_events(raw, to_write=True), "append-fresh", by="event_month", laid_out=True)
     months = sorted(r[0] for r in fresh.select("event_month").distinct().collect())
     old = read_tables_parquet(spark, folder)
     if not months:
         return old
     merged = _merged_events(old["fact_events"], fresh, months)
-    write_by(merged, "event_month", f"{folder}/fact_events.parquet", touched_only=True)
+    write_by(merged, "event_month", f"{folder}/fact_events.parquet", touched_only=True, laid_out=True)
     events = read_events_parquet(spark, folder)
     anew = {
         "user_metrics": _users(old["user_metrics"], events, fresh),

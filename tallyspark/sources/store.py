@@ -200,7 +200,8 @@ def star_schema(events: DataFrame) -> dict[str, DataFrame]:
 def etl_run(raw: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Clean and write the events, then derive and write the other tables from the written events,
     so the cleaning runs once. Returns the tables as read back."""
-    write_tables_parquet({"fact_events": clean.clean_events(raw)}, folder)
+    events = clean.clean_events(raw, to_write=True)
+    write_by(events, "event_month", f"{folder}/fact_events.parquet", laid_out=True)
     return derive_tables(raw.sparkSession, folder)
 
 

@@ -148,3 +148,42 @@ def test_removing_what_was_written(spark, tmp_path, monkeypatch):
     assert list(tmp_path.iterdir()) != []
     shared.remove_written(spark)
     assert list(tmp_path.iterdir()) == []
+
+
+def _some_events(events_of):
+    rows = [
+        (f"2024-01-{i % 28 + 1:02d} 00:{i % 60:02d}:00", ("view", "cart", "purchase", "remove_from_cart")[i * i % 4], i % 37, i % i_users + 1,
+         f"s{i % 23}", 1.0 + i % 13, f"b{i % 5}", f"c{i % 3}.x")
+        for i_users in (3, 11) for i in range(300)
+    ]
+    # Raw events as well, for nulls that cleaning would have filled.
+    events = events_of(rows)
+    return events.withColumn("brand", F.when(F.col("product_id") % 4 > 0, F.col("brand"))).withColumn(
+        "product_id", F.when(F.col("user_id") != 2, F.col("product_id"))
+    )
+
+
+@pytest.mark.parametrize("build", [tables.user_facets, tables.product_facets, tables.session_metrics])
+def test_hot_keys_are_spread_and_equal_the_others(events_of, build):
+    """The same rows whether all keys are taken at once, some are spread, or all are."""
+    events = _some_events(events_of)
+    found = [sorted(map(str, build(events, hot).collect())) for hot in (10**6, 30, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 8
+
+
+@pytest.mark.parametrize("build", [tables.user_facets, tables.product_facets, tables.session_metrics])
+def test_events_of_usual_keys_are_moved_once(spark, events_of, build):
+    """One shuffle of events: no rows are multiplied by the number of facets, and what is summed before
+    a shuffle is at most a count by key."""
+    events = shared.written(_some_events(events_of), "events")
+    plan = build(events, 10**6)._jdf.queryExecution().optimizedPlan().toString()
+    usual = plan[: plan.index("LeftSemi")]
+    assert "Expand" not in usual.split("LeftAnti")[0] and "RepartitionByExpression" in usual
+
+
+def test_events_are_laid_out_before_columns_are_derived(events_of, raw_of):
+    raw = raw_of([(A, "view", 1, 1, "s"), (B, "cart", 2, 1, "t")])
+    laid = clean.clean_events(raw, to_write=True)
+    assert sorted(map(str, laid.collect())) == sorted(map(str, clean.clean_events(raw).collect()))
+    below = laid._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions")[1]
+    assert "substring_index" not in below
