@@ -211,3 +211,8 @@ def test_segments_need_no_written_rows(spark, users):
     assert cuts == {c: exact_quantile(users, c, 0.75, "q").first()["q"] for c in segments.CUT_COLUMNS}
     plan = segments.assign_segments(users, cuts)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_a_fit_has_few_tasks():
+    """Ten stages a boosting round: 34 partitions at 674,955 rows were 100,000 tasks."""
+    assert [churn.train_partitions(n) for n in (1, 20_000, 67_500, 674_955)] == [1, 1, 1, 7]
