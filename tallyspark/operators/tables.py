@@ -164,7 +164,9 @@ def _users_at_once(events: DataFrame) -> DataFrame:
     ).repartition("user_id")
 
     def most_frequent(facet: str) -> Column:
-        return F.mode(F.struct(facet), True)[facet]  # a struct, so that null is a value like others
+        # Null is a value like others, the lowest one. A mode over structs takes copies of one for different.
+        value = F.mode(F.coalesce(F.concat(F.lit("1"), facet), F.lit("0")), True)
+        return F.when(value != "0", F.substr(value, F.lit(2)))
 
     return slim.groupBy("user_id").agg(
         F.min("event_time").alias("first_seen"),

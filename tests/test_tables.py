@@ -187,3 +187,16 @@ def test_events_are_laid_out_before_columns_are_derived(events_of, raw_of):
     assert sorted(map(str, laid.collect())) == sorted(map(str, clean.clean_events(raw).collect()))
     below = laid._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions")[1]
     assert "substring_index" not in below
+
+
+def test_preferences_of_many_users_taken_at_once_equal_spread_ones(spark):
+    """More users than an aggregation keeps objects for, with nulls, ties and empty labels."""
+    n = F.xxhash64("id")
+    events = spark.range(20_000).select(
+        (n % 700).alias("user_id"), F.timestamp_seconds(F.col("id")).alias("event_time"), F.lit("view").alias("event_type"),
+        (F.col("id") % 90).alias("product_id"), (n % 11).cast("string").alias("user_session"), F.lit(1.5).alias("price"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("b"), (F.col("id") % 7).cast("string"))).alias("brand"),
+        F.when(F.col("id") % 3 > 0, F.repeat(F.lit("c"), (F.col("id") % 4).cast("int"))).alias("category"),
+    )
+    found = [sorted(map(str, tables.user_facets(events, hot).collect())) for hot in (10**6, 0)]
+    assert found[0] == found[1] and len(found[0]) > 1000
