@@ -70,12 +70,16 @@ def dedup_events(events: DataFrame) -> DataFrame:
     category_code, brand). An aggregate, so copies collapse on the map side before the shuffle:
     a key holding a large share of all rows sends one row per map task.
     """
-    rest = [c for c in events.columns if c not in EVENT_KEY]
+    return _kept(events, EVENT_KEY)
+
+
+def _kept(events: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in events.columns if c not in keys]
     leading = [c for c in ("price", "category_id", "category_code", "brand") if c in rest]
     order = leading + [c for c in rest if c not in leading]
-    kept = events.groupBy(*EVENT_KEY).agg(F.min(F.struct(*order)).alias("_kept"))
+    kept = events.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_kept"))
     return kept.select(
-        *[F.col(c) if c in EVENT_KEY else F.col(f"_kept.{c}").alias(c) for c in events.columns]
+        *[F.col(c) if c in keys else F.col(f"_kept.{c}").alias(c) for c in events.columns]
     )
 
 
@@ -94,11 +98,22 @@ def wanted_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def by_month(events: DataFrame) -> DataFrame:
-    """Whole files of a month, for a writer that partitions by month: small months share a task, a large
-    one is split. Before the derived columns are added, so that only the month travels with an event."""
-    month = calendar_columns(events).select(*events.columns, "event_month")
-    return month.hint("rebalance", "event_month").select(*events.columns)
+#: Tasks a month may be cut over, or a twelfth of the session's shuffle partitions if that is more.
+MONTH_SLOTS = 8
+
+
+def dedup_by_month(events: DataFrame) -> DataFrame:
+    """`dedup_events` for a writer that partitions by month, in one shuffle: copies of an event are of the
+    same month and, by a hash of hour and user, of the same slot of it. Small months share a task, a large one
+    is cut over its slots, a user's day stays in few files, and a user with most events is spread by hours. All
+    copies of one event meet in one task, which keeps one row of them. Before the derived columns are
+    added, so that only month and slot travel with an event."""
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed_by = F.xxhash64(F.date_trunc("hour", "event_time"), "user_id")
+    slot = F.pmod(placed_by, F.lit(max(MONTH_SLOTS, partitions // 12))).cast("smallint")
+    place = ["event_month", "_slot"]
+    placed = calendar_columns(events).withColumn("_slot", slot).select(*events.columns, *place)
+    return _kept(placed.hint("rebalance", *place), [*place, *EVENT_KEY]).select(*events.columns)
 
 
 def derived_columns(events: DataFrame) -> DataFrame:
@@ -108,8 +123,7 @@ def derived_columns(events: DataFrame) -> DataFrame:
 def clean_events(raw: DataFrame, to_write: bool = False) -> DataFrame:
     """All steps. The type filter and the derived columns commute with the de-duplication, so
     the shuffle carries only wanted rows and no derived column. `to_write` lays the rows out by month."""
-    events = raw.transform(wanted_events).transform(dedup_events)
-    return derived_columns(by_month(events) if to_write else events)
+    return derived_columns(raw.transform(wanted_events).transform(dedup_by_month if to_write else dedup_events))
 
 
 def data_quality_report(raw: DataFrame, clean: DataFrame | None = None) -> DataFrame:

@@ -48,11 +48,25 @@ def _first_user() -> tuple[Column, Callable[[Column], Column]]:
 HOT_EVENTS = 100_000
 
 
+#: Groups of keys, by hash, that are counted before any key is: few enough to be summed up in each task.
+KEY_GROUPS = 1 << 16
+
+
+def _hot_keys(events: DataFrame, key: str, most: int) -> DataFrame:
+    """The keys with more than so many events, as `_hot`. Keys are counted in groups first, by hash, and one
+    by one only in groups that hold more than the limit together: a count of all keys would shuffle
+    nearly a row an event where few events of a key lie in one task."""
+    slim = events.select(F.col(key).alias("_hot"), F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS)).cast("int").alias("_group"))
+    in_group = slim.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    full = F.broadcast(in_group.filter(F.col("_n") > most).select("_group"))
+    counts = slim.join(full, "_group", "left_semi").groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > most).select("_hot")
+
+
 def _apart(events: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Events of the keys that have at most so many, and those of the hot keys. One count by key finds
-    these; there are fewer of them than events divided by the limit, so they are broadcast."""
-    counts = events.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") > most).select("_hot"))
+    """Events of the keys that have at most so many, and those of the hot keys. There are fewer of these
+    than events divided by the limit, so they are broadcast."""
+    hot = F.broadcast(_hot_keys(events, key, most))
     same = F.col(key).eqNullSafe(F.col("_hot"))
     return events.join(hot, same, "left_anti"), events.join(hot, same, "left_semi")
 

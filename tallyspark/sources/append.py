@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators import clean, tables
-from tallyspark.plans.shared import write_by, written
+from tallyspark.plans.shared import replace_with, write_by, written
 from tallyspark.sources.schema import RAW_EVENTS
 from tallyspark.sources.store import read_events_parquet, read_tables_parquet, write_tables_parquet
 
@@ -16,17 +16,22 @@ def _merged_events(old: DataFrame, fresh: DataFrame, months: list[str]) -> DataF
     same month and a copy kept before meets the new one here, whichever file brought either."""
     kept = old.filter(F.col("event_month").isin(months))  # prunes directories
     both = kept.select(*RAW_EVENTS.names).unionByName(fresh.select(*RAW_EVENTS.names))
-    return clean.derived_columns(both.transform(clean.dedup_events).transform(clean.by_month))
+    return clean.derived_columns(both.transform(clean.dedup_by_month))
 
 
 #: New keys that are broadcast, some 32 MB of them; more take a shuffle join.
 BROADCAST_KEYS = 1_000_000
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """Keys, broadcast if they are few. Left to the planner, a join to keys of unknown number shuffles all
+    events before their number is known."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _keys(fresh: DataFrame, key: str) -> DataFrame:
-    """The users or products of the new events."""
-    seen = fresh.select(key).distinct()
-    return F.broadcast(seen) if seen.count() <= BROADCAST_KEYS else seen
+    """The users, products or sessions of the new events."""
+    return _sized(fresh.select(key).distinct())
 
 
 def _users(old: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -44,10 +49,10 @@ def _users(old: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
 def _sessions(old: DataFrame, events: DataFrame, fresh: DataFrame, months: list[str]) -> DataFrame:
     """Sessions of the new events. Only those that reach out of the months are looked for in the events
     of other months; they are few, but the session of all session-less events is usually one."""
-    seen = fresh.select("user_session").distinct()
+    seen = _keys(fresh, "user_session")
     touched = old.join(seen, "user_session", "left_semi")
     inside = [F.date_format(c, "yyyy-MM").isin(months) for c in ("session_start", "session_end")]
-    wide = touched.filter(~(inside[0] & inside[1])).select("user_session")
+    wide = _sized(touched.filter(~(inside[0] & inside[1])).select("user_session"))
     near = events.filter(F.col("event_month").isin(months)).join(seen, "user_session", "left_semi")
     anew = [
         tables.session_metrics(near.join(wide, "user_session", "left_anti")),
@@ -98,7 +103,8 @@ def etl_append(raw: DataFrame, folder: str) -> dict[str, DataFrame]:
         "product_metrics": _products(old["product_metrics"], events, fresh),
         "daily_activity": _days(old["daily_activity"], events, months),
     }
-    # A table can't be replaced while it is read.
-    ready = {name: written(frame, f"append-{name}") for name, frame in anew.items()}
-    write_tables_parquet(ready, folder)
+    # A table can't be replaced while it is read: the new ones are written once, beside the old ones.
+    beside = f"{folder}/_next"
+    write_tables_parquet(anew, beside)
+    replace_with(spark, {f"{folder}/{name}.parquet": f"{beside}/{name}.parquet" for name in anew})
     return read_tables_parquet(spark, folder)

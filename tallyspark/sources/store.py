@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import clean, tables
-from tallyspark.plans.shared import write_by
+from tallyspark.plans.shared import CODEC, write_by
 from tallyspark.sources.schema import DECLARED, RAW_EVENTS, TABLES, declared_columns
 
 
@@ -101,7 +101,7 @@ def write_tables_parquet(frames: dict[str, DataFrame], folder: str) -> None:
         if name == "fact_events":
             write_by(frame, "event_month", path)
         else:
-            frame.write.mode("overwrite").parquet(path)
+            frame.write.mode("overwrite").option("compression", CODEC).parquet(path)
 
 
 def read_events_parquet(spark: SparkSession, folder: str) -> DataFrame:

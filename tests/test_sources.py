@@ -146,6 +146,24 @@ def test_append_that_broke_off_is_repeated(spark, raw_of, tmp_path, monkeypatch)
     assert _same(store.etl_run(raw_of(OLD + NEW), whole), append.etl_append(raw_of(NEW), folder))
 
 
+def test_append_moves_no_events_for_few_sessions(spark, raw_of, tmp_path, monkeypatch):
+    """The session that reaches over months is broadcast, also if the planner would not."""
+    folder = str(tmp_path / "appended")
+    store.etl_run(raw_of(OLD), folder)
+    kept, plans = append.write_tables_parquet, []
+    monkeypatch.setattr(append, "write_tables_parquet", lambda frames, to: (
+        plans.append(frames["session_metrics"]._jdf.queryExecution().executedPlan().toString()), kept(frames, to)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = append.etl_append(raw_of(NEW), folder)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert _same(store.etl_run(raw_of(OLD + NEW), str(tmp_path / "whole")), after)
+    assert not (tmp_path / "appended/_next/session_metrics.parquet").exists()
+
+
 def test_append_to_empty_tables(spark, raw_of, tmp_path):
     folder, whole = str(tmp_path / "appended"), str(tmp_path / "whole")
     store.etl_run(raw_of([]), folder)

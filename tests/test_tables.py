@@ -200,3 +200,28 @@ def test_preferences_of_many_users_taken_at_once_equal_spread_ones(spark):
     )
     found = [sorted(map(str, tables.user_facets(events, hot).collect())) for hot in (10**6, 0)]
     assert found[0] == found[1] and len(found[0]) > 1000
+
+
+def test_events_are_shuffled_once_for_a_layout_by_month(spark, raw_of):
+    """Copies over slots, months and prices: the rows of the plain de-duplication, in one exchange."""
+    rows = [
+        (f"2024-{i % 3 + 1:02d}-01 00:{i % 60:02d}:00", ("view", "cart", "bounce")[i % 7 % 3], i % 5, i % 4, None if i % 11 == 0 else f"s{i % 2}", float(i % 9))
+        for i in range(2000)
+    ]
+    raw = raw_of(rows)
+    laid = clean.clean_events(raw, to_write=True)
+    found = sorted(map(str, laid.collect()))
+    assert found == sorted(map(str, clean.clean_events(raw).collect())) and 100 < len(found) < 2000
+    plan = laid._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len([line for line in plan.splitlines() if "Exchange" in line]) == 1
+
+
+@pytest.mark.parametrize("groups", [1, 3, 1 << 16])
+def test_hot_keys_are_found_by_groups(spark, monkeypatch, groups):
+    """Exact however keys fall into groups, null being a key; keys of other groups are never counted."""
+    monkeypatch.setattr(tables, "KEY_GROUPS", groups)
+    events = spark.range(1000).select(F.when(F.col("id") >= 40, F.floor(F.sqrt("id"))).alias("user_id"))
+    counts = events.groupBy("user_id").count().collect()
+    for most in (0, 40, 45, 10**6):
+        found = [r["_hot"] for r in tables._hot_keys(events, "user_id", most).collect()]
+        assert sorted(map(str, found)) == sorted(str(r["user_id"]) for r in counts if r["count"] > most)
