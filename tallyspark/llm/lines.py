@@ -88,6 +88,21 @@ def keys(lines: DataFrame, edits: int, unit: int) -> DataFrame:
     return lines.select("line64", F.inline(F.concat(*found))).select("key", "line64", "indexed")
 
 
+#: Bits of a line's short hash. It only says which lines meet: lines that share one are told apart by id.
+LINE_BITS = 47
+
+
+def line_hash(id_: Column) -> Column:
+    return F.xxhash64(id_).bitwiseAND((1 << LINE_BITS) - 1)
+
+
+def coded_keys(lines: DataFrame, edits: int, unit: int) -> DataFrame:
+    """`keys` in the two numbers that are shuffled: key, and code, the line's short hash with the
+    indexed bit behind it. Its upper bytes are 0, so a row is 14 bytes that do not compress."""
+    found = keys(lines, edits, unit)
+    return found.select("key", F.shiftleft("line64", 1).bitwiseOR(F.col("indexed").cast("bigint")).alias("code"))
+
+
 #: Steps of the search for a shared end, in code points: lines of up to 2**25 of them.
 _JUMPS = [1 << k for k in range(24, -1, -1)]
 
@@ -239,16 +254,17 @@ def _group_links(members: Column, edits: int, unit: int) -> Column:
 def edit_links(lines: DataFrame, edits: int, unit: int) -> DataFrame:
     """Links (u, v) between near lines, enough to connect all such lines. `lines` has id (binary),
     line, and no repeats."""
-    texts = lines.select("id", "line", F.xxhash64("id").alias("line64"), F.length("line").alias("n"))
+    texts = lines.select("id", "line", line_hash(F.col("id")).alias("line64"), F.length("line").alias("n"))
     by_key = Window.partitionBy("key")
+    indexed = F.col("code").bitwiseAND(1) == 1
     # Only keys with an indexed line and another one go on. Nothing but ids is shuffled here.
     met = written(
-        keys(texts, edits, unit)
+        coded_keys(texts, edits, unit)
         .withColumn("_all", F.count(F.lit(1)).over(by_key))
-        .withColumn("_indexed", F.count_if("indexed").over(by_key))
+        .withColumn("_indexed", F.count_if(indexed).over(by_key))
         .filter("_all > 1 AND _indexed > 0")
         .withColumn("_blocks", F.ceil(F.col("_all") / BLOCK).cast("int"))
-        .select("key", "line64", "indexed", "_blocks"),
+        .select("key", F.shiftright("code", 1).alias("line64"), indexed.alias("indexed"), "_blocks"),
         "line-keys",
     )
     wanted = written(marked(met, "line64"), "line-marks")

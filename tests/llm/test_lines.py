@@ -136,3 +136,23 @@ def test_the_distance_follows_the_length(docs_of):
     rows = list(enumerate(texts))
     want = {3: [0], 6: [0], 11: [0], 14: [0]}
     assert brute(rows) == want and {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == want
+
+
+def test_a_shuffled_key_is_two_numbers_with_zero_upper_bytes(spark):
+    texts = [(bytes([i]) * 16, "a line of some forty code points, with number %02d" % i) for i in range(30)]
+    frame = spark.createDataFrame(texts, "id binary, line string").select("*", lines.line_hash(F.col("id")).alias("line64"), F.length("line").alias("n"))
+    coded = lines.coded_keys(frame, 2, 20)
+    assert coded.columns == ["key", "code"]
+    rows = coded.collect()
+    assert all(0 <= r.code < 1 << 48 for r in rows)
+    got = sorted((r.key, r.code >> 1, r.code & 1 == 1) for r in rows)
+    assert got == sorted(map(tuple, lines.keys(frame, 2, 20).collect()))
+    assert {h for _, h, _ in got} == {r.line64 for r in frame.collect()} and len({h for _, h, _ in got}) == 30
+
+
+def test_lines_that_share_a_short_hash_are_told_apart(docs_of, monkeypatch):
+    monkeypatch.setattr(lines, "LINE_BITS", 3)
+    random.seed(23)
+    base = ["".join(random.choices("abcdé ", k=random.randint(18, 60))) for _ in range(20)]
+    rows = [(i, "\n".join(mutate(random.choice(base), random.choice([0, 1, 2, 3])) for _ in range(4))) for i in range(25)]
+    assert {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == brute(rows)
