@@ -14,6 +14,8 @@ both ends, then runs a bit-parallel edit distance over the band of 2 * edits + 1
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,21 +73,23 @@ def keys(lines: DataFrame, edits: int, unit: int) -> DataFrame:
     points as edits: then no segment is empty, and every shifted substring lies inside its line."""
     found = []
     for e, least, most in _bands(edits, unit):
-        k, rows = e + 1, []
+        k = e + 1
         for shorter in range(e + 1):
-            target = F.col("n") - shorter
-            allowed = target >= least if most is None else target.between(least, most)
-            for i, (start, length) in enumerate(_segments(target, e), 1):
+            # A plan of its own for each length to meet: its few keys are compiled to a method short
+            # enough for the JVM to compile in turn. All keys of a line in one expression are not.
+            allowed = F.col("n") >= least + shorter if most is None else F.col("n").between(least + shorter, most + shorter)
+            some = lines.filter(allowed).select("line64", "line", (F.col("n") - shorter).alias("n"))
+            cuts = {f"_{name}{i}": c for i, cut in enumerate(_segments(F.col("n"), e), 1) for name, c in zip(("start", "length"), cut)}
+            rows = []
+            for i in range(1, k + 1):
                 low = max(-(i - 1), shorter - (k - i))
                 high = min(i - 1, shorter + (k - i))
                 for shift in range(low, high + 1):
                     own = shorter == 0 and shift == 0
-                    part = F.substring(F.col("line"), start + shift, length)
-                    row = F.struct(F.xxhash64(target, F.lit(i), part).alias("key"), F.lit(own).alias("indexed"))
-                    rows.append(F.when(allowed, row) if shorter or most is not None else row)
-        concerned = F.col("n") >= least if most is None else F.col("n").between(least, most + e)
-        found.append(F.when(concerned, F.array_compact(F.array(*rows))).otherwise(F.array().cast("array<struct<key:bigint,indexed:boolean>>")))
-    return lines.select("line64", F.inline(F.concat(*found))).select("key", "line64", "indexed")
+                    part = F.substring(F.col("line"), F.col(f"_start{i}") + shift, F.col(f"_length{i}"))
+                    rows.append(F.struct(F.xxhash64("n", F.lit(i), part).alias("key"), F.lit(own).alias("indexed")))
+            found.append(some.withColumns(cuts).select("line64", F.inline(F.array(*rows))).select("key", "line64", "indexed"))
+    return reduce(DataFrame.unionByName, found)
 
 
 #: Bits of a line's short hash. It only says which lines meet: lines that share one are told apart by id.
@@ -197,6 +201,13 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
         return _bound(pair, check)
 
+    # An edit changes one of the pieces that `a` is cut into at most, so the others are found in `b`.
+    # This native test tells most pairs apart; what follows is interpreted and runs for the others.
+    pieces = 2 * edits + 2
+
+    def screened(width: Column) -> Column:
+        return sum(b.contains(F.substring(a, width * i + 1, width)).cast("int") for i in range(pieces)) >= pieces - edits
+
     limit = F.least(F.length(a), F.length(b))
     front = lambda s, have, n: F.substring(s, have + 1, n)
     back = lambda s, have, n: F.substring(s, F.length(s) - have - n + 1, n)
@@ -204,7 +215,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
         _shared(a, b, limit, front),
         lambda head: F.struct(head.alias("head"), _shared(a, b, limit - head, back).alias("tail")),
     )
-    return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(_bound(ends, compare))
+    plausible = _bound(F.ceil(F.length(a) / pieces).cast("int"), screened)
+    return F.when((F.abs(F.length(a) - F.length(b)) > edits) | ~plausible, False).otherwise(_bound(ends, compare))
 
 
 def near(a: Column, b: Column, edits: int, unit: int) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -156,3 +157,37 @@ def test_lines_that_share_a_short_hash_are_told_apart(docs_of, monkeypatch):
     base = ["".join(random.choices("abcdé ", k=random.randint(18, 60))) for _ in range(20)]
     rows = [(i, "\n".join(mutate(random.choice(base), random.choice([0, 1, 2, 3])) for _ in range(4))) for i in range(25)]
     assert {r.doc_id: r.dropped for r in lines.dropped_lines(docs_of(rows)).collect()} == brute(rows)
+
+
+def test_keys_are_made_in_methods_that_the_jvm_compiles(spark, tmp_path):
+    """A lambda in the generator leaves it to Spark's interpreter, and a method of 8,000 bytes of code
+    or more to the JVM's."""
+    spark.createDataFrame([("x" * 60, 1, 60)], "line string, line64 long, n int").write.parquet(f"{tmp_path}/lines")
+    found = lines.coded_keys(spark.read.parquet(f"{tmp_path}/lines"), 2, 20)
+    told = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "codegen")
+    generators = re.findall(r"(\*\(\d+\) )?Generate inline", found._jdf.queryExecution().executedPlan().toString())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+    assert generators and all(generators)
+    assert len(sizes) == len(generators) and max(sizes) < 8000
+
+
+def test_every_key_of_a_line_by_brute_force(spark):
+    """A line of n code points has its own segments, and meets every line that is at most its edits
+    shorter under at least one key where that line is indexed."""
+    random.seed(5)
+    texts = sorted({"".join(random.choices("abc é", k=n)) for n in (19, 20, 21, 39, 40, 41, 42, 60) for _ in range(3)})
+    texts += sorted({mutate(t, 1) for t in texts} | {mutate(t, 2) for t in texts} - set(texts))
+    frame = spark.createDataFrame([(t, i, len(t)) for i, t in enumerate(texts)], "line string, line64 long, n int")
+    own, all_ = defaultdict(set), defaultdict(set)
+    for key, i, indexed in lines.keys(frame, 2, 20).collect():
+        all_[i].add(key)
+        if indexed:
+            own[i].add(key)
+    near = 0
+    for i, a in enumerate(texts):
+        assert len(own[i]) == (0 if len(a) < 20 else 2 if len(a) < 40 else 3)
+        for j, b in enumerate(texts):
+            if len(a) <= len(b) and a != b and distance(a, b) <= min(2, len(a) // 20):
+                near += 1
+                assert own[i] & all_[j]
+    assert near > 20
